@@ -26,12 +26,14 @@ from sitelens.llm.common import held_out
 from sitelens.llm.textkit import slices, span_hashes, word_spans
 
 LOG_BUCKETS = 20
-PREFIX_BYTES = 5
+PREFIX_BYTES = 4
 FEATURES = 4096
 FACTORS = 8
 #: At most about this many documents of each label teach.
 SAMPLE_PER_LABEL = 4000
 EPOCHS = 40
+#: Buckets tied to the label more weakly than this G are left out (about one in 2,000 by chance).
+MIN_G = 6.0
 RATE = 0.1
 L2 = 1e-4
 SEED = 7
@@ -94,7 +96,7 @@ def train(rows: list[np.ndarray], labels: np.ndarray, log_buckets: int = LOG_BUC
     with np.errstate(divide="ignore", invalid="ignore"):
         neg, base = everywhere - pos, n1 / n
         g = pos * np.log(np.where(pos > 0, pos / (everywhere * base), 1)) + neg * np.log(np.where(neg > 0, neg / (everywhere * (1 - base)), 1))
-    g[everywhere < 3] = 0
+    g[(everywhere < 3) | (g < MIN_G)] = 0
     chosen = np.argsort(-g, kind="stable")[: min(FEATURES, int((g > 0).sum()))]
     slot[chosen] = np.arange(len(chosen))
     own = [s[s >= 0] for s in (slot[r] for r in rows)]
