@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelens.llm import balltree, gif, langid, toxicity, warc
+from sitelens.llm import backoff, balltree, gif, jaccard, langid, packing, toxicity, warc
+
+
+def tokenizer_path() -> str:
+    """The tokenizer file named by ``SITELENS_TOKENIZER``, else the installed public one."""
+    import os
+
+    import public_tokenizers
+
+    return os.environ.get("SITELENS_TOKENIZER") or public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,17 +35,41 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balltree.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op6_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.media_columns(_table(spark, sf_dir, "documents"))
 
 
+def op8_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.score(_table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score_documents(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
 
 
+_QUERIES = (
+    op1_language_id,
+    op2_warc_revisits,
+    op3_exact_top_k,
+    op4_best_fit_packing,
+    op5_ngram_jaccard,
+    op6_gif_media,
+    op8_backoff_scores,
+    op9_toxicity,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_warc_revisits, op3_exact_top_k, op6_gif_media, op9_toxicity)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
