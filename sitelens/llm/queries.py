@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelens.llm import backoff, balltree, gif, jaccard, langid, packing, toxicity, warc
+from sitelens.llm import backoff, balltree, gif, jaccard, langid, mixing, packing, toxicity, warc
 
 
 def tokenizer_path() -> str:
@@ -47,6 +47,10 @@ def op6_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.media_columns(_table(spark, sf_dir, "documents"))
 
 
+def op7_raked_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.sample(_table(spark, sf_dir, "documents"))
+
+
 def op8_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff.score(_table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ _QUERIES = (
     op4_best_fit_packing,
     op5_ngram_jaccard,
     op6_gif_media,
+    op7_raked_mix,
     op8_backoff_scores,
     op9_toxicity,
 )
@@ -73,4 +78,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_raked_mix": mixing.ORACLE_SQL}
