@@ -13,6 +13,7 @@ a null page id can only become the original of its payload if no other page has
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -120,7 +121,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYT
     (
         records(resolved.repartition(files, F.xxhash64("page_id", "digest")))
         .write.option("lineSep", CRLF + CRLF)
-        .option("compression", "none")
+        .option("compression", "gzip")
         .text(path)
     )
     return path
@@ -145,9 +146,9 @@ def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for raw in batch["content"]:
+        for packed in batch["content"]:
             found = []
-            for heads, block in parse(raw):
+            for heads, block in parse(gzip.decompress(packed)):
                 http, _, payload = block.partition(b"\r\n\r\n")
                 size = int(http.rsplit(b": ", 1)[1])
                 digest, kind = heads["WARC-Payload-Digest"].removeprefix("sha1:"), heads["WARC-Type"]
