@@ -107,23 +107,35 @@ def calibrate(raked: DataFrame, keep: float = KEEP, steps: int = CALIBRATIONS) -
     return now
 
 
+def probabilities(rows: DataFrame, keep: float = KEEP, temper: dict[str, float] | None = None) -> DataFrame:
+    """``source, lang, topic, f, p`` of each cell of ``described`` rows, written."""
+    cells = calibrate(stored(rake(cells_of(rows), temper), "mixing-raked"), keep)
+    return stored(cells.select(*AXES, "f", F.round("p", 6).alias("p")), "mixing-p")
+
+
 def sample(documents: DataFrame, keep: float = KEEP, temper: dict[str, float] | None = None) -> DataFrame:
     """One row per input row: doc_id, its cell, tokens, raked weight, probability and whether it is drawn."""
     rows = described(documents)
-    cells = calibrate(stored(rake(cells_of(rows), temper), "mixing-raked"), keep)
-    cells = stored(cells.select(*AXES, "f", "p"), "mixing-p")
     # A cell of a third of all rows is split by AQE's skew join: both sides are plain shuffles.
-    joined = rows.join(cells, list(AXES))
+    joined = rows.join(probabilities(rows, keep, temper), list(AXES))
     return joined.select(
         "doc_id",
         *AXES,
         "tokens",
         F.round("f", 6).alias("weight"),
-        F.round("p", 6).alias("probability"),
-        (uniform(F.col("doc_id")) < F.round("p", 6)).alias("drawn"),
+        F.col("p").alias("probability"),
+        (uniform(F.col("doc_id")) < F.col("p")).alias("drawn"),
     )
 
 
+def drawn(documents: DataFrame, keep: float = KEEP, temper: dict[str, float] | None = None) -> DataFrame:
+    """The sampled rows of ``documents`` with all their columns."""
+    cell = [f"_{a}" for a in AXES]
+    p = probabilities(described(documents), keep, temper).select(*[F.col(a).alias(c) for a, c in zip(AXES, cell, strict=True)], F.col("p").alias("_p"))
+    named = {"_source": F.coalesce("source", F.lit(NONE)), "_lang": F.coalesce("lang", F.lit(NONE)), "_topic": topic_of(F.col("text"))}
+    return documents.withColumns(named).join(p, cell).where(uniform(F.col("doc_id")) < F.col("_p")).select(*documents.columns)
+
+
 def _oracle() -> str:
     case = " ".join(f"when contains(low, '{phrase}') then '{name}'" for name, phrase in TOPICS)
     parts = [

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelens.llm import backoff, balltree, gif, jaccard, langid, mixing, packing, toxicity, warc
+from sitelens.llm import backoff, balltree, gif, jaccard, langid, linededup, mixing, packing, toxicity, warc
 
 
 def tokenizer_path() -> str:
@@ -60,6 +60,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
 
 
+def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.deduplicated(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_removed").alias("removed_lines"), "text")
+
+
 _QUERIES = (
     op1_language_id,
     op2_warc_revisits,
@@ -70,6 +75,7 @@ _QUERIES = (
     op7_raked_mix,
     op8_backoff_scores,
     op9_toxicity,
+    op10_fuzzy_lines,
 )
 
 
