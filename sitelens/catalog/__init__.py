@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sitelens.catalog import search
+
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES: tuple = ()
+_MODULES = (search,)
 
 
 def queries() -> dict[str, Query]:
@@ -25,4 +27,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return search.hybrid_search(spark, sf_dir)
