@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelens.catalog import search
+from sitelens.catalog import search, spatial
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (search,)
+_MODULES = (search, spatial)
 
 
 def queries() -> dict[str, Query]:
