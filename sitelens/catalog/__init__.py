@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelens.catalog import search, spatial
+from sitelens.catalog import corpus, search, spatial
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (search, spatial)
+_MODULES = (search, spatial, corpus)
 
 
 def queries() -> dict[str, Query]:
