@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelens.catalog import corpus, search, spatial
+from sitelens.catalog import corpus, portfolio, search, spatial
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (search, spatial, corpus)
+_MODULES = (search, spatial, corpus, portfolio)
 
 
 def queries() -> dict[str, Query]:
