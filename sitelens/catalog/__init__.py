@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelens.catalog import corpus, evidence, portfolio, search, spatial
+from sitelens.catalog import corpus, evidence, ingest, portfolio, search, spatial
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (search, spatial, corpus, portfolio, evidence)
+_MODULES = (search, spatial, corpus, portfolio, evidence, ingest)
 
 
 def queries() -> dict[str, Query]:
