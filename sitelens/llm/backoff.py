@@ -185,9 +185,10 @@ def score(documents: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_co
                 steps[miss] += 1
                 open_ &= ~hit
             value[open_] += np.log(counts[0][open_] / words_total)
-            for out, of in ((logs, value), (backed, steps)):
-                total = np.concatenate([[0], np.cumsum(of)])
-                out[first:past] = total[at[1:]] - total[at[:-1]]
+            # Each text is summed by itself, so equal texts get equal sums.
+            for i in range(past - first):
+                logs[first + i] = value[at[i] : at[i + 1]].sum()
+                backed[first + i] = steps[at[i] : at[i + 1]].sum()
             n_words[first:past] = np.diff(at)
         mean = np.where(n_words > 0, logs / np.maximum(n_words, 1), np.nan)
         return pd.DataFrame({"doc_id": docs["doc_id"].astype("Int64"), "n_words": n_words, "backed_off": backed, "log_score": np.where(n_words > 0, logs, np.nan), "score": mean})
