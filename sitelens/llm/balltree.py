@@ -1,7 +1,7 @@
 """Exact top-k inner products by ball-tree branch and bound (operator 3).
 
-Candidate vectors are dealt into shards of at most ``SHARD_ROWS`` rows; each shard is one task's
-unit and gets its own ball tree. Query vectors form blocks of bounded size that meet every shard
+Candidate vectors are dealt into shards of at most about ``SHARD_ROWS`` rows (a 64th of the rows, if
+that is fewer); each shard is one task's unit and gets its own ball tree. Query vectors form blocks of bounded size that meet every shard
 (the stated query set against all rows, in blocks). A first pass searches one shard per query block,
 its kth score is shared with all other shards as the score to beat, and inside a shard
 each query visits the leaves in the order of their inner-product upper bound
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from sitelens.llm.common import discard, stored
 
 SCALE = 256
-SHARD_ROWS = 4096
+SHARD_ROWS = 65536
+LEAST_SHARD_ROWS = 2048
 BLOCK_ROWS = 1024
 LEAF_ROWS = 64
 #: Products of integers up to this size sum exactly in doubles (53 bits) in a matrix product.
@@ -45,9 +46,8 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     return vectors.where(x.isNotNull() & F.col(id_col).isNotNull() & fine).select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("v"))
 
 
-def _packed(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """Rows dealt by a hash of the id into blocks of about ``size`` rows, each block one binary row."""
-    total = rows.count()
+def _packed(rows: DataFrame, total: int, size: int, name: str) -> tuple[DataFrame, int]:
+    """Rows dealt by a hash of the id into blocks of about ``size`` rows, each block one binary row; the number of blocks."""
     blocks = max(1, -(-total // size))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -59,7 +59,7 @@ def _packed(rows: DataFrame, size: int, name: str) -> DataFrame:
         return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "dims": [dims], "data": [data.tobytes()]})
 
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    return stored(dealt.groupBy("block").applyInPandas(pack, BLOCK), name)
+    return stored(dealt.groupBy("block").applyInPandas(pack, BLOCK), name), blocks
 
 
 class BallTree:
@@ -140,14 +140,16 @@ def _aligned(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.pad(x, ((0, 0), (0, n - x.shape[1]))) for x in (a, b))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The ``k`` candidates of highest integer inner product for each query: query_id, rank, vec_id, score.
 
     Both inputs are ``(vec_id, v array<long>)`` as ``quantised`` returns them. A query is never its
     own candidate. Fewer than ``k`` candidates give fewer rows.
     """
-    shards, blocks = _packed(vectors, shard_rows, "shards"), _packed(queries, block_rows, "queries")
-    n = shards.count()
+    total = vectors.count()
+    size = shard_rows or min(SHARD_ROWS, max(LEAST_SHARD_ROWS, -(-total // 64)))
+    shards, n = _packed(vectors, total, size, "shards")
+    blocks, n_blocks = _packed(queries, queries.count(), block_rows, "queries")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tree_of, tree = None, None
@@ -168,18 +170,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
 
     q = blocks.select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("dims").alias("q_dims"), F.col("data").alias("q_data"))
     home = F.pmod(F.col("q_block"), F.lit(n))
-    known = shards.select("block").withColumn("pos", F.row_number().over(_by("block")) - 1)
-    named = shards.join(known, "block")
+    named = shards.withColumn("pos", F.col("block"))
     q_len = (F.octet_length("q_ids") / 8).cast("int")
     lowest = F.unhex(F.repeat(F.lit(_NONE.to_bytes(8, "little", signed=True).hex()), q_len))
-    parts = max(1, n)
+    parts = n
     first = stored(
         q.withColumn("pos", home).withColumn("floor", lowest).join(named.hint("shuffle_hash"), "pos").mapInPandas(search, HITS),
         "topk-first",
     )
     ranked = first.select("query_id", "vec_id", "score", F.row_number().over(_by_query()).alias("rank"))
     kth = ranked.where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
-    floors = kth.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, blocks.count()))))
+    floors = kth.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)))
 
     def shared(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """Each query block with the kth scores of its queries, as far as they are known."""
@@ -203,12 +204,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _by(col: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(col)
-
-
 def _by_query():
     from pyspark.sql import Window
 
