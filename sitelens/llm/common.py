@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -10,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CONF = "spark.checkpoint.dir"
-#: Marker column values for rows that learn and rows that are held out.
+#: Rows whose id's crc32 leaves remainder 0 by this are held out.
 FOLDS = 5
 
 
@@ -41,18 +40,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
 
 
 def discard(df: DataFrame) -> None:
     """Removes a table that ``stored`` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    roots = {os.path.dirname(f) for f in df.inputFiles()}
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for root in roots:
-        if "/sitelens/" in root:
-            path = jvm.org.apache.hadoop.fs.Path(root)
-            path.getFileSystem(conf).delete(path, True)
+    path = vars(df).get("_stored_at")
+    if path:
+        spark = df.sparkSession
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def held_out(doc_id: Column | str = "doc_id") -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelens.llm import backoff, balltree, gif, jaccard, langid, linededup, mixing, packing, toxicity, warc
+from sitelens.llm import backoff, balltree, gif, jaccard, langid, linededup, mixing, packing, sql, toxicity, warc
 
 
 def tokenizer_path() -> str:
@@ -52,7 +52,8 @@ def op7_raked_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backoff.score(_table(spark, sf_dir, "documents"))
+    out = backoff.score(_table(spark, sf_dir, "documents"))
+    return out.withColumns({c: F.round(c, 6) for c in ("log_score", "score")})
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,4 +85,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_raked_mix": mixing.ORACLE_SQL}
+    return dict(sql.SQL)

@@ -202,8 +202,9 @@ def test_backoff_odd_rows_and_codecs(spark):
         assert (backoff._large(backoff._small(c), n) == c).all()
 
 
-def test_mixing_equals_sql(spark):
-    assert mismatch(queries.queries()["op7_raked_mix"](spark, DIR), connect(DIR), queries.oracle_sql()["op7_raked_mix"]) is None
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_sql(spark, name):
+    assert mismatch(queries.queries()[name](spark, DIR), connect(DIR), queries.oracle_sql()[name]) is None
 
 
 def test_mixing_meets_margins_and_budget(spark):
@@ -239,7 +240,7 @@ def brute_lines(spark, texts):
     seen = defaultdict(list)
     for i, t in enumerate(texts):
         for n, line in enumerate((t or "").split("\n")):
-            norm = re.sub("[1-9]", "0", " ".join(re.sub(r"[^\w]|_", " ", line.lower()).split()))
+            norm = " ".join(re.sub(r"[\W\d_]", " ", line.lower()).split())
             if len(norm.split()) >= 5:
                 seen[norm].append((i, n))
     lines = list(seen)
@@ -294,6 +295,19 @@ def test_lines_equal_brute_force(spark):
         assert got[i].text == "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone.get(i, ()))
 
 
+def test_simhash_equals_plain_counts(spark):
+    import xxhash
+
+    lines = ["the cat sat on the mat", "alpha beta gamma delta epsilon zeta of on to", "one " * 40000, "a b c d e f"]
+    got = {r.doc_id: r.sim & (2**64 - 1) for r in linededup.occurrences(spark.createDataFrame(list(enumerate(lines)), DOC)).collect()}
+    for i, line in enumerate(lines):
+        words = [w for w in line.split() if len(w) > 3]
+        words = words if len(words) >= 5 else line.split()
+        step = -(-len(words) // linededup._MOST)
+        hashes = [xxhash.xxh64_intdigest(w, seed=42) for w in (words if len(words) <= linededup._MOST else words[::step])]
+        assert got[i] == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
 def test_lines_odd_rows(spark):
     docs = odd_docs(spark)
     got = linededup.deduplicated(docs)
