@@ -236,7 +236,7 @@ def levenshtein(a, b):
 
 
 def brute_lines(spark, texts):
-    """Line numbers that go per document, from all pairs of lines within the SimHash radius."""
+    """Line numbers that go per document, from all pairs of lines that share two blocks within the radius."""
     seen = defaultdict(list)
     for i, t in enumerate(texts):
         for n, line in enumerate((t or "").split("\n")):
@@ -256,7 +256,9 @@ def brute_lines(spark, texts):
     links = 0
     for i in range(len(lines)):
         for j in range(i):
-            if (sims[i] ^ sims[j]).bit_count() <= 3 and levenshtein(lines[i], lines[j]) <= 0.1 * max(len(lines[i]), len(lines[j])) + 1e-9:
+            apart = sims[i] ^ sims[j]
+            shared = sum(not apart >> at & (1 << n) - 1 for at, n in linededup.BLOCKS) >= 2
+            if shared and apart.bit_count() <= linededup.RADIUS and levenshtein(lines[i], lines[j]) <= 0.1 * max(len(lines[i]), len(lines[j])) + 1e-9:
                 links += 1
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
