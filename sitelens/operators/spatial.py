@@ -91,7 +91,8 @@ def nearest_polygon(sites: DataFrame, features: DataFrame, rings_of_cells: Seque
     for reach in rings_of_cells:
         near = site_cells(left, reach).join(in_cells(held, reach, reach), ["cx", "cy"])
         pairs = near.withColumn("distance", geo.polygon_distance(F.col("rings"), F.col("x"), F.col("y"))).where(F.col("distance") <= reach)
-        got = _nearest_of(pairs)
+        # One row a site, asked for by the answer and by every wider reach: kept while the session runs.
+        got = _nearest_of(pairs).persist()
         parts.append(got)
         left = left.join(got.select("site_id"), "site_id", "left_anti")
     # Whatever is farther than the last reach: every feature, an aggregate per site.
