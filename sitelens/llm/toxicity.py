@@ -1,8 +1,8 @@
 """Toxicity by a factorization machine over hashed terms (operator 9).
 
 Terms are the words of a text and their first five bytes, hashed to 2**20 buckets. A bounded sample
-of labelled documents picks the ``FEATURES`` buckets most tied to the label (signed G statistic);
-the machine ``w0 + w.x + 1/2 sum_f ((V_f.x)^2 - (V_f^2).(x^2))`` over their presence learns the
+of labelled documents teaches: every bucket in at least ``MIN_ROWS`` of its documents is a feature, whether
+or not it is tied to the label by itself, since two terms may matter only together. The machine ``w0 + w.x + 1/2 sum_f ((V_f.x)^2 - (V_f^2).(x^2))`` over their presence learns the
 linear weights and, through the factors, which pairs matter together. Scoring is row by row in
 Arrow batches over whole texts, without a shuffle.
 
@@ -27,15 +27,24 @@ from sitelens.llm.textkit import slices, span_hashes, word_spans
 
 LOG_BUCKETS = 20
 PREFIX_BYTES = 4
-FEATURES = 4096
+#: A bucket of fewer sampled documents is no feature.
+MIN_ROWS = 3
 FACTORS = 8
 #: At most about this many documents of each label teach.
 SAMPLE_PER_LABEL = 4000
-EPOCHS = 40
-#: Buckets tied to the label more weakly than this G are left out (about one in 2,000 by chance).
-MIN_G = 6.0
+BATCH = 256
+#: Passes over the sample, and mini-batches at least: first of the weights alone, so the factors learn what those
+#: leave unexplained and not the noise of many terms, then of both.
+LINEAR_EPOCHS, LINEAR_STEPS = 20, 200
+EPOCHS, STEPS = 20, 200
 RATE = 0.1
 L2 = 1e-4
+L2_FACTORS = 1e-2
+#: A weight moves at ``G / (G + TIED)`` of the rate, and at this share at least.
+TIED = 6.0
+SLOWEST = 0.02
+#: AdaGrad's sums of squares begin here, so a bucket of few documents moves by little at first.
+START = 1e-3
 SEED = 7
 
 
@@ -79,12 +88,16 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
 
 
+def _totals(at: np.ndarray, values: list[np.ndarray], n: int) -> np.ndarray:
+    """Sums of each of ``values`` by ``at``, a row each."""
+    return np.stack([np.bincount(at, x, n) for x in values])
+
+
 def train(rows: list[np.ndarray], labels: np.ndarray, log_buckets: int = LOG_BUCKETS) -> FactorizationMachine:
     """Fits the machine to the distinct buckets of each row by AdaGrad over mini-batches."""
     size, n = 1 << log_buckets, len(rows)
     slot = np.full(size, -1, np.int32)
-    pos = np.zeros(size)
-    everywhere = np.zeros(size)
+    everywhere, pos = np.zeros(size), np.zeros(size)
     for r, y in zip(rows, labels, strict=True):
         everywhere[r] += 1
         pos[r] += y
@@ -92,41 +105,43 @@ def train(rows: list[np.ndarray], labels: np.ndarray, log_buckets: int = LOG_BUC
     if not n or n1 in (0, n):
         bias = -500.0 if not n or not n1 else 500.0
         return FactorizationMachine(slot, bias, np.zeros(1), np.zeros((1, FACTORS)))
-    # Signed G: how far a bucket's rate of label 1 departs from the whole sample's.
-    with np.errstate(divide="ignore", invalid="ignore"):
-        neg, base = everywhere - pos, n1 / n
-        g = pos * np.log(np.where(pos > 0, pos / (everywhere * base), 1)) + neg * np.log(np.where(neg > 0, neg / (everywhere * (1 - base)), 1))
-    g[(everywhere < 3) | (g < MIN_G)] = 0
-    chosen = np.argsort(-g, kind="stable")[: min(FEATURES, int((g > 0).sum()))]
+    chosen = np.flatnonzero(everywhere >= MIN_ROWS)
+    # G, how far a bucket's rate of label 1 departs from the whole sample's, sets how fast its weight moves;
+    # factors move whatever it is.
+    pos, neg, seen, base = pos[chosen], (everywhere - pos)[chosen], everywhere[chosen], n1 / n
+    g = pos * np.log(np.maximum(pos, 1) / (seen * base)) + neg * np.log(np.maximum(neg, 1) / (seen * (1 - base)))
     slot[chosen] = np.arange(len(chosen))
-    own = [s[s >= 0] for s in (slot[r] for r in rows)]
+    own = [s[s >= 0].astype(np.intp) for s in (slot[r] for r in rows)]
     rng = np.random.default_rng(SEED)
     m = max(1, len(chosen))
-    w, v, b = np.zeros(m), rng.normal(0, 0.01, (m, FACTORS)), np.log(n1 / (n - n1))
-    gw, gv, gb = np.full(m, 1e-8), np.full((m, FACTORS), 1e-8), 1e-8
-    for _ in range(EPOCHS):
+    pace = np.zeros(m)
+    pace[: len(chosen)] = RATE * np.maximum(SLOWEST, g / (g + TIED))
+    w, v, b = np.zeros(m), rng.normal(0, 0.01, (FACTORS, m)), np.log(n1 / (n - n1))
+    gw, gv, gb = np.full(m, START), np.full((FACTORS, m), START), START
+    steps = -(-n // BATCH)
+    linear, both = (max(e, -(-least // steps)) for e, least in ((LINEAR_EPOCHS, LINEAR_STEPS), (EPOCHS, STEPS)))
+    for epoch in range(linear + both):
         order = rng.permutation(n)
-        for start in range(0, n, 256):
-            batch = order[start : start + 256]
+        for start in range(0, n, BATCH):
+            batch = order[start : start + BATCH]
             feats = np.concatenate([own[i] for i in batch])
             owner = np.repeat(np.arange(len(batch)), [len(own[i]) for i in batch])
-            sums = np.zeros((len(batch), FACTORS))
-            np.add.at(sums, owner, v[feats])
-            squares = np.bincount(owner, (v[feats] ** 2).sum(axis=1), len(batch))
-            margin = b + np.bincount(owner, w[feats], len(batch)) + 0.5 * ((sums**2).sum(axis=1) - squares)
-            off = 1 / (1 + np.exp(-np.clip(margin, -500, 500))) - labels[batch]
-            dw = np.bincount(feats, off[owner], m) / len(batch) + L2 * w
-            dv = np.zeros((m, FACTORS))
-            np.add.at(dv, feats, off[owner][:, None] * (sums[owner] - v[feats]))
-            dv = dv / len(batch) + L2 * v
-            db = off.mean()
+            margin = b + np.bincount(owner, w[feats], len(batch))
+            if epoch >= linear:
+                sums = _totals(owner, [f[feats] for f in v], len(batch))
+                margin += 0.5 * ((sums**2).sum(axis=0) - np.bincount(owner, (v**2).sum(axis=0)[feats], len(batch)))
+            off = (1 / (1 + np.exp(-np.clip(margin, -500, 500))) - labels[batch]) / len(batch)
+            pull = np.bincount(feats, off[owner], m)
+            if epoch >= linear:
+                dv = _totals(feats, [x[owner] for x in off * sums], m) + (L2_FACTORS - pull) * v
+                gv += dv**2
+                v -= 0.5 * RATE * dv / np.sqrt(gv)
+            dw, db = pull + L2 * w, off.sum()
             gw += dw**2
-            gv += dv**2
             gb += db**2
-            w -= RATE * dw / np.sqrt(gw)
-            v -= 0.5 * RATE * dv / np.sqrt(gv)
+            w -= pace * dw / np.sqrt(gw)
             b -= RATE * db / np.sqrt(gb)
-    return FactorizationMachine(slot, float(b), w, v)
+    return FactorizationMachine(slot, float(b), w, np.ascontiguousarray(v.T))
 
 
 def learn(documents: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> FactorizationMachine:

@@ -171,6 +171,28 @@ def test_toxicity_learns_a_pair():
     assert (((margin > 0) == np.array(ys)).mean()) > 0.95
 
 
+def test_toxicity_leaves_out_no_term_for_its_label_tie():
+    """Every bucket of three or more documents is a feature, and a pair holds on rows not learned from."""
+    rng = random.Random(6)
+
+    def drawn(n):
+        rows, ys = [], []
+        for _ in range(n):
+            a, b = rng.random() < 0.5, rng.random() < 0.5
+            rows.append(np.array(sorted({10 * a + 1, 100 * b + 2, *rng.sample(range(1000, 7000), 10)})))
+            ys.append(float(a == b))
+        return rows, np.array(ys)
+
+    rows, ys = drawn(3000)
+    model = toxicity.train(rows, ys, 13)
+    often, n = np.unique(np.concatenate(rows), return_counts=True)
+    assert (n >= 3).sum() > 4096 and (model.slot[often[n >= 3]] >= 0).all()
+    rows, ys = drawn(500)
+    slot = [model.slot[r] for r in rows]
+    margin = np.array([model.margin(s[s >= 0], np.zeros((s >= 0).sum(), int), 1)[0] for s in slot])
+    assert ((margin > 0) == ys).mean() > 0.9
+
+
 def test_toxicity_odd_rows(spark):
     docs = odd_docs(spark)
     labels = spark.createDataFrame([(1, 1, 1), (7, 1, 0), (7, 1, None), (None, 1, 1), (99, 0, 1)], "doc_id long, quality int, toxic int")
