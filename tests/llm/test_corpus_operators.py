@@ -320,6 +320,19 @@ def test_simhash_equals_plain_counts(spark):
         assert got[i] == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def test_simhash_of_a_very_long_line_counts_all_words(spark):
+    import xxhash
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(20000)]
+    lines = [" ".join(words), " ".join(["inserted", *words])]
+    got = {r.doc_id: r.sim & (2**64 - 1) for r in linededup.occurrences(spark.createDataFrame(list(enumerate(lines)), DOC)).collect()}
+    for i, line in enumerate(lines):
+        hashes = [xxhash.xxh64_intdigest(w, seed=42) for w in line.split()]
+        assert got[i] == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    assert (got[0] ^ got[1]).bit_count() <= linededup.RADIUS
+
+
 def test_lines_odd_rows(spark):
     docs = odd_docs(spark)
     got = linededup.deduplicated(docs)
