@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 
@@ -16,13 +17,15 @@ FOLDS = 5
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors and the driver share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests, local mode)
-    a folder of this machine is set instead.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a folder of this machine
+    is set instead, but only if the master is local: executors elsewhere would not see it.
     """
     found = spark.conf.get(_CONF, None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError(f"set {_CONF} to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sitelens-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -45,6 +48,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def private(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for i in itertools.count() if (n := f"_{name}" + (f"_{i}" if i else "")) not in taken)
+
+
 def discard(df: DataFrame) -> None:
     """Removes a table that ``stored`` wrote, once nothing reads it any more."""
     path = vars(df).get("_stored_at")
@@ -70,24 +79,29 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> DataFrame:
+def _stars(edges: DataFrame) -> bool:
+    """Whether every ``u`` has one edge and no ``v`` is a ``u``: then each ``v`` is its component."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent")).union(edges.select("v", F.lit(0), F.lit(1)))
+    node = ends.groupBy("node").agg(F.sum("child").alias("child"), F.max("parent").alias("parent"))
+    return node.where("child > 1 or (child = 1 and parent = 1)").isEmpty()
+
+
+def connected_components(edges: DataFrame, name: str = "cc", known: DataFrame | None = None) -> DataFrame:
     """``edges(a, b)`` to ``(node, component)``; the component is its least node.
 
-    Alternating large-star and small-star rounds over DataFrames. Both sides of each join are
+    Alternating large-star and small-star rounds over DataFrames, until only stars are left. Both sides of each join are
     written tables, so a hub's rows are split by AQE's skew join; minima pre-aggregate before
-    they shuffle. Nothing is gathered on the driver but a row count and a checksum.
+    they shuffle. Nothing is gathered on the driver but a flag a round. ``known`` are the components of earlier edges:
+    then only edges between those take part.
     """
-    spark = edges.sparkSession
+    if known is not None:
+        of = lambda end: known.select(F.col("node").alias(end), F.col("component").alias(f"_{end}"))
+        edges = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
     now = stored(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
         name,
     )
-    seen = None
-    for _ in range(max_rounds):
-        mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if (mark.n, mark.s) == seen or not mark.n:
-            break
-        seen = (mark.n, mark.s)
+    while not _stars(now):
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
         large = stored(
@@ -106,8 +120,11 @@ def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 6
         for t in (now, least, large, least2):
             discard(t)
         now = after
-    else:
-        raise RuntimeError("connected components did not settle")
     members = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return members.union(roots)
+    members = members.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    if known is None:
+        return members
+    moved = members.select(F.col("node").alias("component"), F.col("component").alias("_to"))
+    older = known.join(moved, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+    fresh = members.join(known.select("node"), "node", "left_anti")
+    return older.union(fresh)

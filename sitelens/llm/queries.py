@@ -69,7 +69,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.deduplicated(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_removed").alias("removed_lines"), "text")
+    return out.select("doc_id", "n_lines", "removed_lines", "text")
 
 
 _QUERIES = (

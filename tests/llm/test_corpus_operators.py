@@ -8,7 +8,9 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -235,27 +237,16 @@ def test_mixing_odd_rows(spark):
     assert mixing.sample(docs.limit(0)).count() == 0
 
 
-def levenshtein(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-        row = new
-    return row[-1]
-
-
-def brute_lines(spark, texts):
-    """Line numbers that go per document, from all pairs of lines that share two blocks within the radius."""
+def brute_lines(texts):
+    """Line numbers that go per document and the links, from the edit similarity of all pairs of lines."""
     seen = defaultdict(list)
     for i, t in enumerate(texts):
         for n, line in enumerate((t or "").split("\n")):
-            norm = " ".join(re.sub(r"[\W\d_]", " ", line.lower()).split())
+            norm = " ".join(re.sub(r"[^\w]|_", " ", line.lower()).split())
             if len(norm.split()) >= 5:
                 seen[norm].append((i, n))
-    lines = list(seen)
-    frame = spark.createDataFrame(list(enumerate(lines)), DOC)
-    sims = {r.doc_id: r.sim & (2**64 - 1) for r in linededup.occurrences(frame).select("doc_id", "sim").collect()}
+    lines = sorted(seen, key=len)
+    letters = [Counter(x) for x in lines]
     root = list(range(len(lines)))
 
     def find(a):
@@ -263,15 +254,19 @@ def brute_lines(spark, texts):
             a = root[a]
         return a
 
-    links = 0
-    for i in range(len(lines)):
-        for j in range(i):
-            apart = sims[i] ^ sims[j]
-            shared = sum(not apart >> at & (1 << n) - 1 for at, n in linededup.BLOCKS) >= 2
-            if shared and apart.bit_count() <= linededup.RADIUS and levenshtein(lines[i], lines[j]) <= 0.1 * max(len(lines[i]), len(lines[j])) + 1e-9:
-                links += 1
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
+    links, close = [], []
+    for j, longer in enumerate(lines):
+        most = int(0.1 * len(longer) + 1e-9)
+        for i in range(j - 1, -1, -1):
+            if len(lines[i]) < len(longer) - most:
+                break
+            # An edit takes at most one letter away.
+            if (letters[j] - letters[i]).total() <= most:
+                close.append((i, j, lines[i], longer, most))
+    pairs = pd.DataFrame(close, columns=["i", "j", "a", "b", "most"])
+    for i, j in duckdb.sql("select i, j from pairs where levenshtein(a, b) <= most").fetchall():
+        links.append((lines[i], lines[j]))
+        root[find(i)] = find(j)
     first = {}
     for i, line in enumerate(lines):
         first[find(i)] = min(first.get(find(i), (10**9, 0)), min(seen[line]))
@@ -298,49 +293,98 @@ def test_lines_equal_brute_force(spark):
             text = " ".join(own)
             lines.append(text.upper() + "!" if rng.random() < 0.2 else text)
         texts.append("\n".join(lines))
-    gone, links = brute_lines(spark, texts)
-    assert links > 50
+    gone, links = brute_lines(texts)
+    assert len(links) > 50
     docs = spark.createDataFrame(list(enumerate(texts)), DOC)
     got = {r.doc_id: r for r in linededup.deduplicated(docs).collect()}
+    want, have = ({(i, n) for i, ns in d.items() for n in ns} for d in (gone, {i: r.removed_lines for i, r in got.items()}))
+    assert len(want & have) >= 0.97 * len(want) and len(have - want) <= 0.01 * len(want)
     for i, t in enumerate(texts):
-        assert got[i]._removed == sorted(gone.get(i, ()))
-        assert got[i].text == "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone.get(i, ()))
+        assert got[i].text == "\n".join(x for n, x in enumerate(t.split("\n")) if n not in got[i].removed_lines)
+
+
+def test_lines_found_of_all_pairs(spark):
+    """Of the links that edit similarity alone gives on a whole table, nearly all end in one group; clean lines stay."""
+    docs = queries._table(spark, "/root/testdata/sf0.001", "documents").orderBy("doc_id")
+    texts = [r.text for r in docs.collect()]
+    gone, links = brute_lines(texts)
+    got = {r.doc_id: set(r.removed_lines) for r in linededup.deduplicated(docs).collect()}
+    ids = [r.doc_id for r in docs.collect()]
+    want = {(ids[i], n) for i, ns in gone.items() for n in ns}
+    have = {(i, n) for i, ns in got.items() for n in ns}
+    assert len(links) > 20 and len(want & have) >= 0.95 * len(want) and len(have - want) <= 0.01 * len(want)
+    found = linededup.occurrences(docs)
+    groups = {r.node: r.component for r in linededup.line_groups(found, found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "k1", "k2", "line_no")).alias("first"))).collect()}
+    node = {r.norm: r.h1 for r in found.select("norm", "h1").distinct().collect()}
+    assert sum(groups.get(node[a], a) == groups.get(node[b], b) for a, b in links) >= 0.9 * len(links)
+
+
+def test_near_lines_of_every_length_meet(spark):
+    """One changed word is found in lines of any length; so are one word more and a changed digit."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8)))
+    texts = []
+    for n in [*range(8, 40), 60, 100, 300, 2000, 20000]:
+        own = [word() for _ in range(n)]
+        k = max(range(n), key=lambda i: len(own[i]))
+        texts += [" ".join(own), " ".join([*own[:k], own[k][:-1] + "z", *own[k + 1 :]])]
+        if n > 12:
+            texts.append(" ".join([*own[: n // 2], "q", *own[n // 2 :]]))
+    texts += ["invoice number 123 totals about 900 euros", "invoice number 777 totals about 12 euros", "invoice number 123 totals about 901 euros"]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOC)
+    got = {r.doc_id: r.removed_lines for r in linededup.deduplicated(docs).collect()}
+    gone, _ = brute_lines([t if len(t) < 4000 else "" for t in texts])
+    assert {i for i, r in got.items() if r and len(texts[i]) < 4000} == set(gone)
+    assert [got[i] for i, t in enumerate(texts) if len(t) > 4000] == [[], [0], [0]] * 2
 
 
 def test_simhash_equals_plain_counts(spark):
     import xxhash
 
-    lines = ["the cat sat on the mat", "alpha beta gamma delta epsilon zeta of on to", "one " * 40000, "a b c d e f"]
-    got = {r.doc_id: r.sim & (2**64 - 1) for r in linededup.occurrences(spark.createDataFrame(list(enumerate(lines)), DOC)).collect()}
+    rng = random.Random(4)
+    lines = ["the cat sat on the mat", "one " * 40000, "a b c d e f", " ".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(20000))]
+    rows = spark.createDataFrame([(i, " ".join(x.split())) for i, x in enumerate(lines)], "node long, norm string")
+    got = {r.node: r.sim & (2**64 - 1) for r in linededup.simhashes(rows).collect()}
     for i, line in enumerate(lines):
-        words = [w for w in line.split() if len(w) > 3]
-        words = words if len(words) >= 5 else line.split()
-        step = -(-len(words) // linededup._MOST)
-        hashes = [xxhash.xxh64_intdigest(w, seed=42) for w in (words if len(words) <= linededup._MOST else words[::step])]
+        hashes = [xxhash.xxh64_intdigest(w, seed=42) for w in line.split()]
         assert got[i] == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def test_simhash_of_a_very_long_line_counts_all_words(spark):
-    import xxhash
+def test_lines_of_scripts_without_spaces(spark):
+    line = "東京都は日本の首都であり世界最大の都市の一つです"
+    docs = spark.createDataFrame([(0, line), (1, line[:5] + "本" + line[6:]), (2, "北海道の冬は寒くて雪が多いことで知られています")], DOC)
+    got = {r.doc_id: r.removed_lines for r in linededup.deduplicated(docs).collect()}
+    assert got == {0: [], 1: [0], 2: []}
 
-    rng = random.Random(4)
-    words = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(20000)]
-    lines = [" ".join(words), " ".join(["inserted", *words])]
-    got = {r.doc_id: r.sim & (2**64 - 1) for r in linededup.occurrences(spark.createDataFrame(list(enumerate(lines)), DOC)).collect()}
-    for i, line in enumerate(lines):
-        hashes = [xxhash.xxh64_intdigest(w, seed=42) for w in line.split()]
-        assert got[i] == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-    assert (got[0] ^ got[1]).bit_count() <= linededup.RADIUS
+
+def test_crowded_buckets_settle(spark):
+    """Many different lines that share whole blocks of words: each family inside is still found."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    shared = [word() for _ in range(20)]
+    texts = []
+    for _ in range(60):
+        own = [word() for _ in range(12)]
+        line = [x for i in range(12) for x in (shared[i], own[i])] + shared[12:]
+        texts += [" ".join(line), " ".join([*line[:-1], "changed"])]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOC)
+    got = {r.doc_id: r.removed_lines for r in linededup.deduplicated(docs).collect()}
+    assert sum(bool(got[i]) for i in range(1, 120, 2)) >= 54 and not any(got[i] for i in range(0, 120, 2))
 
 
 def test_lines_odd_rows(spark):
     docs = odd_docs(spark)
-    got = linededup.deduplicated(docs)
+    got = linededup.deduplicated(docs, "lines", "gone")
     rows = got.collect()
-    assert len(rows) == 8 and got.columns == [*docs.columns, "_n_lines", "_removed"]
+    assert len(rows) == 8 and got.columns == [*docs.columns, "lines", "gone"]
     by = {r.doc_id: r for r in rows}
-    assert by[2].text is None and by[2]._n_lines == 0 and by[3].text == "" and by[5].text == "12 34 !!"
+    assert by[2].text is None and by[2].lines == 0 and by[3].text == "" and by[5].text == "12 34 !!"
     assert linededup.deduplicated(docs.limit(0)).count() == 0
+    clash = docs.withColumns({"_k1": F.lit("own"), "_K2": F.lit("mine"), "_lines": F.lit(5), "n_words": F.lit(1)})
+    kept = linededup.deduplicated(clash, "lines", "gone")
+    assert kept.columns[: len(clash.columns)] == clash.columns and {tuple(r) for r in kept.select("_k1", "_K2", "_lines", "n_words").collect()} == {("own", "mine", 5, 1)}
+    with pytest.raises(ValueError, match="column"):
+        linededup.deduplicated(docs.withColumn("Gone", F.lit(1)), "lines", "gone")
 
 
 def test_filter_loses_no_key(spark):
