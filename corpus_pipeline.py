@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.llm import jaccard, linededup, mixing, packing, toxicity
-from sitelens.llm.common import row_keys, stored
+from sitelens.llm.common import private, row_keys, stored
 from sitelens.llm.queries import tokenizer_path
 
 #: The sample that training reads holds this share of the tokens that reach the mixing stage.
@@ -19,21 +19,26 @@ MIX_KEEP = 0.8
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: documents with a toxicity score of 0.5 or more go."""
+    """Operator 9: documents with a toxicity score of 0.5 or more go.
+
+    Null and empty texts score the bias alone; repeated rows go or stay together; without labels all stay.
+    """
     model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.withColumn("_score", toxicity.score_column(model, "text", docs)).where("_score < 0.5").drop("_score")
+    score = private(docs, "score")
+    return docs.withColumn(score, toxicity.score_column(model, "text", docs)).where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: repeated lines go; ``n_chars`` follows the text.
 
-    A document that loses all its lines is a copy of earlier text and goes; one that had no text
-    before stays.
+    A document that loses its last line with any visible character is a copy of earlier text and goes; one that had no
+    such line before stays, null texts too. Rows equal in id and text are one document, so they stay or go together.
     """
-    out = linededup.deduplicated(docs)
-    emptied = (F.size("_removed") > 0) & (F.trim("text") == "")
-    n_chars = F.when(F.size("_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")
-    return out.where(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", n_chars).select(*docs.columns)
+    n_lines, removed = private(docs, "n_lines"), private(docs, "removed")
+    out = linededup.deduplicated(docs, n_lines, removed)
+    cut = F.size(removed) > 0
+    n_chars = F.when(cut, F.length("text")).otherwise(F.col("n_chars")).cast("long")
+    return out.where(~(cut & ~F.coalesce(F.col("text").rlike(r"\S"), F.lit(False)))).withColumn("n_chars", n_chars).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
