@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import itertools
 import tempfile
 import uuid
@@ -63,6 +64,12 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver forget finished jobs, so that the executors delete their shuffle files now and not at some later time."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def held_out(doc_id: Column | str = "doc_id") -> Column:
     """Whether crc32 of the id as text leaves remainder 0 (null ids: true, they never teach)."""
     key = F.col(doc_id) if isinstance(doc_id, str) else doc_id
