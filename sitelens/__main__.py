@@ -29,7 +29,10 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     spark = get_session()
     if args.command == "inventory":
-        files.inventory(spark, args.root).show(1000, truncate=False)
+        listing = files.inventory(spark, args.root)
+        print("\t".join(listing.columns))
+        for row in listing.toLocalIterator():
+            print("\t".join(str(v) for v in row))
         return 0
     for name in args.names:
         df = catalog.queries()[name](spark, args.data)

@@ -62,9 +62,7 @@ def _flags(spark, d) -> DataFrame:
 
 
 def _flagged(spark, d) -> DataFrame:
-    labels = table(spark, d, "labels").where("quality = 1").select("doc_id").distinct()
-    docs = _docs(spark, d).join(labels, "doc_id", "left_semi")
-    return docs.select(F.col("doc_id").alias("record_id"), F.array("source").alias("source_ids"), "text")
+    return _docs(spark, d).select(F.col("doc_id").alias("record_id"), F.array("source").alias("source_ids"), "text")
 
 
 def flag_match(spark, d):
@@ -72,7 +70,7 @@ def flag_match(spark, d):
 
 
 _FLAGS = (
-    "r as (select doc_id as record_id, source, text from documents where doc_id in (select doc_id from labels where quality = 1)), "
+    "r as (select doc_id as record_id, source, text from documents), "
     "fl as (select item_id as flag_id, 'src' || (item_id * 3) as source_id, text as claim from benchmark), "
     "m as (select distinct flag_id, record_id from fl, r where fl.source_id = r.source or contains(r.text, claim))"
 )

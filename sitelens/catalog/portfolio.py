@@ -112,8 +112,8 @@ SQL = {
     "select c_custkey as project_id, c_name as project_name, count(run_id) as run_count, arg_max(run_id, (created_at, run_id)) as latest_run_id from customer left join r on project_id = c_custkey group by all",
     "q44_runs_newest_first": f"select project_id, run_id, row_number() over (partition by project_id order by created_at desc, run_id desc)::int as position from ({_RUNS})",
     "q45_successful_runs_only": f"select run_id, workflow_status, power from ({_RUNS}) where workflow_status in ('COMPLETE', 'REQUIRES_HUMAN_REVIEW')",
-    "q46_flatten_json_paths": "with k as (select event_id, 'props.' || unnest(json_keys(props)) as path, props from events) select event_id, path, json_extract_string(props, '$.' || substr(path, 7)) as value from k "
-    "union all select event_id, 'site.name', 's' || (event_id % 9) from events union all select event_id, 'site.at.x', (event_id % 100)::varchar from events union all select event_id, 'tags', '[1,2]' from events",
+    "q46_flatten_json_paths": "with k as (select event_id, 'props.' || unnest(json_keys(props)) as path, props from events) select event_id, path, json_extract(props, '$.' || substr(path, 7))::varchar as value from k "
+    "union all select event_id, 'site.name', '\"s' || (event_id % 9) || '\"' from events union all select event_id, 'site.at.x', (event_id % 100)::varchar from events union all select event_id, 'tags', '[1,2]' from events",
     "q47_snapshot_diff": f"with {_DIFF} select * from df",
     "q48_diff_summary": f"with {_DIFF} select 'projects' as section, change_kind, count(*) as n from df group by change_kind",
     "q49_domain_transition": f"with f as (select *, {_GROUP} as domain_group, {_PRIORITY} as p from ({_FINDINGS})), "

@@ -16,7 +16,8 @@ QUERIES_TEXT = tuple((f"q{i + 1}", domain, template.format(**_PROJECT)) for i, (
 #: A query in the words of the corpus.
 PLAIN_QUERY = "the planning of and in is was for with under by que der les los"
 LIMITS = {"authoritative": 5, "historical": 3, "curated": 3, "supporting": 3}
-_V = "vec_id % 100 = 7"
+#: Vectors that are asked, against all.
+_V = "vec_id % 100 = 0"
 
 
 def _queries(spark: SparkSession) -> DataFrame:
@@ -167,7 +168,7 @@ _STATUS_RANK_SQL = "case document_status " + " ".join(f"when '{k}' then {v}" for
 
 
 def token_overlap_search(spark, d):
-    b = table(spark, d, "benchmark").where("item_id < 10").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
     return lexical.overlap_search(_docs(spark, d), b, 10, "doc_id")
 
 
@@ -194,11 +195,11 @@ _CITATION_SQL = (
 
 
 def mock_embedding(spark, d):
-    return vectors.mock_embedding(table(spark, d, "benchmark"), "item_id", "text").withColumn("value", F.round("value", 6))
+    return vectors.mock_embedding(_docs(spark, d), "doc_id", "text").withColumn("value", F.round("value", 6))
 
 
 _MOCK_SQL = (
-    f"with t as (select item_id as id, unnest({_TOKENS}) as token from benchmark), c as (select id, token, count(*) as n, sha256(token) as h from t group by id, token), "
+    f"with t as (select doc_id as id, unnest({_TOKENS}) as token from documents), c as (select id, token, count(*) as n, sha256(token) as h from t group by id, token), "
     "g as (select id, (('0x' || substr(h, 1, 8))::bigint % 64)::int as dim, sum(n * case when ('0x' || substr(h, 9, 2))::bigint % 2 = 1 then 1 else -1 end)::double as raw from c group by all), "
     "w as (select *, sqrt(sum(raw * raw) over (partition by id)) as norm from g) select id, dim, round(case when norm > 0 then raw / norm else 0 end, 6) as value from w"
 )
@@ -222,27 +223,31 @@ _COSINE = (
 
 
 def _semantic(spark, d) -> DataFrame:
-    """Vectors as the semantic side of the plain query: record i owns vector i."""
-    v = table(spark, d, "embeddings")
-    held = v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return lexical.ranked(vectors.cosine(held, v.where("vec_id = 7").select(F.lit("q").alias("qid"), F.col("embedding").alias("q"))), 50)
+    """Vectors as the semantic side of the searches: record i owns vector i."""
+    return lexical.ranked(vectors.cosine(*_vector_query(spark, d)), 50)
+
+
+def _lexical(spark, d) -> DataFrame:
+    """The plain query's words as the lexical side of every search."""
+    asked = table(spark, d, "embeddings").where(_V).select(F.col("vec_id").cast("string").alias("qid"))
+    return asked.join(lexical.ranked(lexical.bm25(_index(spark, d), _plain(spark)), 50).drop("qid"))
 
 
 def _fused(spark, d) -> DataFrame:
-    return retrieval.fuse(lexical.ranked(lexical.bm25(_index(spark, d), _plain(spark)), 50), _semantic(spark, d))
+    return retrieval.fuse(_lexical(spark, d), _semantic(spark, d))
 
 
 def rrf_fusion(spark, d):
-    return _fused(spark, d).drop("qid")
+    return _fused(spark, d)
 
 
 _FUSED = (
-    "q as (select 'q' as qid, embedding::double[] as q from embeddings where vec_id = 7), "
+    f"q as (select vec_id::varchar as qid, embedding::double[] as q from embeddings where {_V}), "
     "cs as (select qid, vec_id as id, round(list_dot_product(embedding::double[], q) / sqrt(list_dot_product(q, q)), 6) as score from embeddings cross join q), "
     "sem as (select *, row_number() over (partition by qid order by score desc, id) as rank from cs), "
-    "l50 as (select id, rank as lexical_rank from lex where rank <= 50), s50 as (select id, rank as semantic_rank from sem where rank <= 50), "
-    "fu as (select coalesce(l50.id, s50.id) as id, lexical_rank, semantic_rank, round(coalesce(1.0::double / (60 + lexical_rank), 0) + coalesce(1.0::double / (60 + semantic_rank), 0), 9) as fusion "
-    "from l50 full join s50 on l50.id = s50.id)"
+    "l50 as (select q.qid, id, rank as lexical_rank from q, lex where rank <= 50), s50 as (select qid, id, rank as semantic_rank from sem where rank <= 50), "
+    "fu as (select coalesce(l50.qid, s50.qid) as qid, coalesce(l50.id, s50.id) as id, lexical_rank, semantic_rank, round(coalesce(1.0::double / (60 + lexical_rank), 0) + coalesce(1.0::double / (60 + semantic_rank), 0), 9) as fusion "
+    "from l50 full join s50 on l50.qid = s50.qid and l50.id = s50.id)"
 )
 
 
@@ -253,28 +258,28 @@ def _grouped(spark, d) -> DataFrame:
 
 def hybrid_search(spark, d):
     """Flagship: BM25 and vector ranks fused, grouped by authority and limited."""
-    return _grouped(spark, d).select("id", "document_id", "authority_group", "group_rank", "rank", "fusion")
+    return _grouped(spark, d).select("qid", "id", "document_id", "authority_group", "group_rank", "rank", "fusion")
 
 
 _GROUP_SQL = "case when source_class = 'PRIMARY' and document_status = 'CURRENT' then 'authoritative' when source_class = 'PRIMARY' then 'historical' when source_class = 'CURATED' then 'curated' else 'supporting' end"
 _GROUPED = (
     f"{_PLAIN_SQL}, {_FUSED}, r as ({RECORDS_SQL}), h as (select fu.*, document_id, {_GROUP_SQL} as authority_group from fu join r using (id)), "
-    "g as (select *, row_number() over (partition by authority_group order by fusion desc, id) as group_rank from h), "
+    "g as (select *, row_number() over (partition by qid, authority_group order by fusion desc, id) as group_rank from h), "
     "k as (select * from g where group_rank <= case authority_group when 'authoritative' then 5 else 3 end), "
-    "o as (select *, row_number() over (order by case authority_group when 'authoritative' then 0 when 'historical' then 1 when 'curated' then 2 else 3 end, group_rank) as rank from k)"
+    "o as (select *, row_number() over (partition by qid order by case authority_group when 'authoritative' then 0 when 'historical' then 1 when 'curated' then 2 else 3 end, group_rank) as rank from k)"
 )
 
 
 def comparison_candidates(spark, d):
-    return retrieval.comparison_candidates(_grouped(spark, d)).select("comparison_type", F.array_join(F.col("document_ids").cast("array<string>"), ",").alias("document_ids"))
+    return retrieval.comparison_candidates(_grouped(spark, d)).select("qid", "comparison_type", F.array_join(F.col("document_ids").cast("array<string>"), ",").alias("document_ids"))
 
 
 _COMPARISON_SQL = (
-    f"{_GROUPED}, t as (select document_id, authority_group, min(group_rank) as pos from o where authority_group in ('authoritative', 'historical') and group_rank <= 3 group by all), "
-    "n as (select string_agg(document_id::varchar, ',' order by pos) as ids, count(*) as c from t where authority_group = 'authoritative'), "
-    "m as (select string_agg(document_id::varchar, ',' order by pos) as ids, count(*) as c from t where authority_group = 'historical') "
-    "select 'CROSS_SOURCE_COMPARISON_CANDIDATE' as comparison_type, ids as document_ids from n where c > 1 union all "
-    "select 'POLICY_VERSION_DIFFERENCE', n.ids || ',' || m.ids from n, m where n.c > 0 and m.c > 0"
+    f"{_GROUPED}, t as (select qid, document_id, authority_group, min(group_rank) as pos from o where authority_group in ('authoritative', 'historical') and group_rank <= 3 group by all), "
+    "n as (select qid, string_agg(document_id::varchar, ',' order by pos) as ids, count(*) as c from t where authority_group = 'authoritative' group by qid), "
+    "m as (select qid, string_agg(document_id::varchar, ',' order by pos) as ids, count(*) as c from t where authority_group = 'historical' group by qid) "
+    "select qid, 'CROSS_SOURCE_COMPARISON_CANDIDATE' as comparison_type, ids as document_ids from n where c > 1 union all "
+    "select qid, 'POLICY_VERSION_DIFFERENCE', n.ids || ',' || m.ids from n join m using (qid) where n.c > 0 and m.c > 0"
 )
 
 _REQUESTS = (("r1", "PLANNING", "Fingal"), ("r2", "WATER", "Wicklow"), ("r3", "RESPONSIBLE_AI", "Wicklow"), ("r4", "GRID", "Fingal County Council"), ("r5", "ENERGY", None))
@@ -300,13 +305,13 @@ _GAPS_SQL = (
 
 def retrieval_eval(spark, d):
     ranked = lexical.ranked(lexical.bm25(_index(spark, d), _queries(spark)), 10)
-    docs = _docs(spark, d).where("doc_id < 70").select("doc_id")
+    docs = _docs(spark, d).select("doc_id")
     gold = docs.select(F.concat(F.lit("q"), (F.col("doc_id") % 7 + 1).cast("string")).alias("qid"), F.col("doc_id").alias("id"), (F.col("doc_id") % 3 > 0).alias("required"))
     return retrieval.evaluate(ranked, gold)
 
 
 _EVAL_SQL = (
-    f"{_TEMPLATE_SQL}, gold as (select 'q' || (doc_id % 7 + 1) as qid, doc_id as id, doc_id % 3 > 0 as required from documents where doc_id < 70), "
+    f"{_TEMPLATE_SQL}, gold as (select 'q' || (doc_id % 7 + 1) as qid, doc_id as id, doc_id % 3 > 0 as required from documents), "
     "h as (select g.qid, required, l.rank from gold g left join (select * from lex where rank <= 10) l on l.qid = g.qid and l.id = g.id) "
     "select qid, round(case when count(*) filter (required) > 0 then (count(*) filter (required and rank <= 5))::double / count(*) filter (required) else 0 end, 6) as recall_5, "
     "round(case when count(*) filter (required) > 0 then (count(*) filter (required and rank <= 10))::double / count(*) filter (required) else 0 end, 6) as recall_10, "
@@ -315,14 +320,17 @@ _EVAL_SQL = (
 
 
 def embedding_batches(spark, d):
-    out = vectors.embedding_batches(_docs(spark, d), "doc_id", F.size(tokens("text")), F.col("doc_id") % 4, 32, 20000)
+    out = vectors.embedding_batches(_docs(spark, d), "doc_id", F.size(tokens("text")), F.col("doc_id") % 4, 32, 40000)
     return out.groupBy("part", "batch").agg(F.count("*").alias("items"), F.sum("size").alias("size"), F.min("id").alias("first_id"))
 
 
 _BATCH_SQL = (
-    f"with s as (select doc_id as id, doc_id % 4 as part, len({_TOKENS})::bigint as size from documents), "
-    "w as (select *, row_number() over (partition by part order by id) - 1 as n, sum(size) over (partition by part order by id rows unbounded preceding) - size as before from s), "
-    "b as (select *, greatest(n // 32, before // 20000)::bigint as batch from w) select part, batch, count(*) as items, sum(size)::bigint as size, min(id) as first_id from b group by all"
+    f"with recursive s as (select doc_id as id, doc_id % 4 as part, len({_TOKENS})::bigint as size, row_number() over (partition by doc_id % 4 order by doc_id) as n from documents), "
+    "b as (select part, n, id, size, 0::bigint as batch, 1 as held, size as total from s where n = 1 union all "
+    "select s.part, s.n, s.id, s.size, case when b.held >= 32 or b.total + s.size > 40000 then b.batch + 1 else b.batch end, "
+    "case when b.held >= 32 or b.total + s.size > 40000 then 1 else b.held + 1 end, case when b.held >= 32 or b.total + s.size > 40000 then s.size else b.total + s.size end "
+    "from b join s on s.part = b.part and s.n = b.n + 1) "
+    "select part, batch, count(*) as items, sum(size)::bigint as size, min(id) as first_id from b group by part, batch"
 )
 
 QUERIES = {
@@ -361,14 +369,14 @@ SQL = {
     "q08_eligibility_filter": _ELIGIBLE_SQL,
     "q09_jurisdiction_scope": _JURISDICTION_SQL,
     "q10_authority_order": f"with r as ({RECORDS_SQL}) select id, {_CLASS_RANK_SQL} as class_rank, {_STATUS_RANK_SQL} as status_rank from r",
-    "q11_token_overlap_search": f"with h as (select doc_id as id, unnest({_FOLD_TOKENS}) as token from documents), a as (select item_id as qid, unnest({_FOLD_TOKENS}) as token from benchmark where item_id < 10), "
+    "q11_token_overlap_search": f"with h as (select doc_id as id, unnest({_FOLD_TOKENS}) as token from documents), a as (select item_id as qid, unnest({_FOLD_TOKENS}) as token from benchmark), "
     "s as (select qid, id, count(*) as overlap from h join a using (token) group by all), "
     "k as (select *, row_number() over (partition by qid order by overlap desc, id)::int as rank from s) select * from k where rank <= 10",
     "q12_citation_format": _CITATION_SQL,
     "q13_mock_embedding": _MOCK_SQL,
     "q14_cosine_topk": f"with {_COSINE} select qid, id, score, rank::int as rank from sem where rank <= 10",
-    "q15_rrf_fusion": f"{_PLAIN_SQL}, {_FUSED} select id, lexical_rank::int as lexical_rank, semantic_rank::int as semantic_rank, fusion from fu",
-    "q16_grouped_limits": f"{_GROUPED} select id, document_id, authority_group, group_rank::int as group_rank, rank::int as rank, fusion from o",
+    "q15_rrf_fusion": f"{_PLAIN_SQL}, {_FUSED} select qid, id, lexical_rank::int as lexical_rank, semantic_rank::int as semantic_rank, fusion from fu",
+    "q16_grouped_limits": f"{_GROUPED} select qid, id, document_id, authority_group, group_rank::int as group_rank, rank::int as rank, fusion from o",
     "q17_comparison_candidates": _COMPARISON_SQL,
     "q18_gap_detection": _GAPS_SQL,
     "q19_retrieval_eval": _EVAL_SQL,

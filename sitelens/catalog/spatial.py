@@ -68,7 +68,7 @@ _NEAR_ASSETS = _NEAR.format(sites=SITES_SQL, features=ASSETS_SQL)
 
 
 def topk_nearby(spark, d):
-    near = spatial.nearest_k(spatial.within_radius(_sites(spark, d), _applications(spark, d), 5000.0), PLANNING_TOP_K)
+    near = spatial.k_within(_sites(spark, d), _applications(spark, d), 5000.0, PLANNING_TOP_K)
     return near.select("site_id", "feature_id", "status", "rank", F.round("distance", 3).alias("distance"))
 
 

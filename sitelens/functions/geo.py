@@ -93,6 +93,17 @@ def covers(rings: Column, x: Column, y: Column) -> Column:
     return F.coalesce(rings.isNotNull() & (F.size(rings) > 0) & (odd | on_boundary(rings, x, y)), F.lit(False))
 
 
+def outer_rings(rings: Column) -> Column:
+    """How many rings begin inside an even number of the others; the rest are holes."""
+
+    def depth(r: Column, i: Column) -> Column:
+        start = F.element_at(r, 1)
+        around = F.filter(rings, lambda o, j: (j != i) & (F.size(r) > 0) & covers(F.array(o), start["x"], start["y"]))
+        return F.size(around)
+
+    return F.size(F.filter(F.transform(rings, depth), lambda n: n % 2 == 0))
+
+
 def segment_distance(rings: Column, x: Column, y: Column) -> Column:
     """Least distance from the point to any segment; null for an empty geometry."""
 

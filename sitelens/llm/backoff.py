@@ -27,12 +27,13 @@ from pyspark.sql import functions as F
 from sitelens.llm.common import shuffle_parts
 from sitelens.llm.textkit import U, mix, slices, words
 
-#: Bigrams by default: every further order adds about its distinct n-grams, 6 bytes each, to the shuffle.
-ORDER = 2
+ORDER = 3
+#: Bits of an n-gram's hash. Of n distinct n-grams a share of about n / 2**56 has another one's hash.
+HASH_BITS = 56
 ALPHA = 0.4
 MIN_COUNT = 2
 #: Text bytes of a chunk and n-grams of a hash partition; both bound a task's memory.
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 8 << 20
 PART_GRAMS = 2_000_000
 
 LISTS = "chunk int, part int, gram_order int, n int, hashes binary, counts binary"
@@ -49,7 +50,7 @@ def _grams(hashes: np.ndarray, bounds: np.ndarray, order: int) -> list[np.ndarra
             shifted = np.zeros(len(hashes), U)
             shifted[n - 1 :] = hashes[: len(hashes) - n + 1]
             run = run + shifted * mix(np.array([n], U))[0]
-            own = mix(run) | U(1)
+            own = (mix(run) >> U(64 - HASH_BITS)) | U(1)
             own[since < n - 1] = 0
             out.append(own)
     return out
@@ -71,7 +72,7 @@ def _distinct(texts: list[str | None], order: int) -> list[tuple[np.ndarray, np.
 
 def _cuts(hashes: np.ndarray, parts: int) -> np.ndarray:
     """Where each hash partition's run begins and ends in sorted hashes: partitions are hash ranges."""
-    edges = np.array([(p << 64) // parts for p in range(1, parts)], U)
+    edges = np.array([(p << HASH_BITS) // parts for p in range(1, parts)], U)
     return np.concatenate([[0], np.searchsorted(hashes, edges), [len(hashes)]])
 
 

@@ -287,10 +287,11 @@ def _named_rows(signed: DataFrame, final: DataFrame) -> DataFrame:
     many = F.col("copies") > 1000
     right = final.withColumn("salt", F.explode(F.when(many, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(-1)))))
     hot = final.where(many).select("s1", "s2").withColumn("hot", F.lit(True))
-    left = signed.select("doc_id", "k1", "k2", "s1", "s2", (F.size("bands") > 0).alias("has"))
+    # Rows without shingles are no copies of each other; their own keys keep them apart in the joins.
+    has = F.size("bands") > 0
+    left = signed.select("doc_id", "k1", "k2", F.when(has, F.col("s1")).otherwise(F.col("k2")).alias("s1"), F.when(has, F.col("s2")).otherwise(F.col("k1")).alias("s2"))
     # At most rows / 1000 sets have over 1,000 copies; Spark broadcasts them only where they are small.
     left = left.join(hot, ["s1", "s2"], "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("k1", "k2"), F.lit(salts)).cast("int")).otherwise(F.lit(-1)))
-    left = left.withColumn("s2", F.when(F.col("has"), F.col("s2")).otherwise(F.col("k1")))
     joined = left.join(right, ["s1", "s2", "salt"], "left")
     keep = F.coalesce((F.col("chief.k1") == F.col("k1")) & (F.col("chief.k2") == F.col("k2")), F.lit(True))
     return joined.select(

@@ -1,7 +1,7 @@
 """Language identification with bit-sliced Bloom filters (operator 1).
 
 All languages' Bloom filters over byte n-grams share one array: row h holds a bitmask whose bit l
-says whether language l has set position h. One gather per hash, and-ed over the hashes, returns
+says whether language l has set position h, in as many 64-bit words as the languages need. One gather per hash, and-ed over the hashes, returns
 every language that contains an n-gram. Per text and language the set bits are counted and the
 false positives expected at that filter's fill are taken off; the corrected counts decide.
 
@@ -34,7 +34,8 @@ LOG_ROWS = 18
 SAMPLE_DOCS = 400
 #: An n-gram enters a language's filter from this share of the language's n-grams on.
 MIN_SHARE = 2e-5
-MAX_LANGUAGES = 64
+#: Languages of one word of a mask.
+WORD = 64
 
 _LETTER = re.compile(r"[^\W\d_]")
 _SPACE = np.arange(256, dtype=np.uint8)
@@ -45,7 +46,7 @@ for _b in range(128):
 
 @dataclass
 class LanguageFilters:
-    """Bit-sliced filters: ``table[h]`` is the bitmask of the languages with position h set."""
+    """Bit-sliced filters: ``table[h]`` is the bitmask, word by word, of the languages with position h set."""
 
     languages: list[str]
     table: np.ndarray
@@ -73,7 +74,7 @@ class LanguageFilters:
                 seen += np.diff(starts)
                 for k in range(len(self.languages)):
                     total = np.zeros(len(mask) + 1, np.int64)
-                    np.cumsum((mask >> mask.dtype.type(k)) & mask.dtype.type(1), out=total[1:])
+                    np.cumsum(_bit(mask, k), out=total[1:])
                     hits[:, k] += total[starts[1:]] - total[starts[:-1]]
             # Of n n-grams, h = true + (n - true) * false hit the filter.
             true = np.maximum(0, (hits - seen[:, None] * false) / (1 - false))
@@ -91,6 +92,13 @@ class LanguageFilters:
         return names, np.clip(share, 0, 1)
 
 
+def _bit(mask: np.ndarray, k: int) -> np.ndarray:
+    """Whether the bit of language ``k`` is set in each row of masks."""
+    word, at = divmod(k, WORD)
+    one = mask.dtype.type(1)
+    return (mask.reshape(len(mask), -1)[:, word] >> mask.dtype.type(at)) & one
+
+
 def _grams(buf: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each order the n-grams as integers, and each text's range; runs of non-letters count as one space."""
     plain = _SPACE[buf]
@@ -118,11 +126,11 @@ def _grams(buf: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np
 def learn(documents: DataFrame, sample_docs: int = SAMPLE_DOCS, log_rows: int = LOG_ROWS) -> LanguageFilters:
     """Fits the filters on at most about ``sample_docs`` texts of each language that may teach."""
     rows = documents.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MAX_LANGUAGES).collect()}
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(counts)
     size = 1 << log_rows
-    kind = next(t for bits, t in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (64, np.uint64)) if len(languages) <= bits)
-    filters = LanguageFilters(languages, np.zeros(size, kind), np.zeros(len(languages)), log_rows)
+    kind = next((t for bits, t in ((8, np.uint8), (16, np.uint16), (32, np.uint32)) if len(languages) <= bits), np.uint64)
+    filters = LanguageFilters(languages, np.zeros((size, max(1, -(-len(languages) // WORD))), kind), np.zeros(len(languages)), log_rows)
     if not languages:
         return filters
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, sample_docs / n)))])
@@ -136,8 +144,8 @@ def learn(documents: DataFrame, sample_docs: int = SAMPLE_DOCS, log_rows: int =
             own, n = np.unique(grams, return_counts=True)
             own = own[n >= max(2, MIN_SHARE * len(grams))]
             for rows_at in filters.positions(own):
-                filters.table[rows_at] |= kind(1 << k)
-        filters.fill[k] = ((filters.table >> kind(k)) & kind(1)).mean()
+                filters.table[rows_at, k // WORD] |= kind(1 << k % WORD)
+        filters.fill[k] = _bit(filters.table, k).mean()
     return filters
 
 

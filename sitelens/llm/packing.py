@@ -32,8 +32,7 @@ from sitelens.llm.common import row_keys, stored
 
 CAPACITY = 1024
 END_ID = 2
-SALTS = 64
-#: Pieces of one cell of (length, salt), roughly; the salts grow with the number of pieces.
+#: Pieces of one cell of (length, salt), roughly; a length has as many salts as its pieces need.
 CELL = 20_000
 
 PIECES = "doc_id long, k1 long, k2 long, piece int, start long, length long, ids_crc32 long"
@@ -142,10 +141,11 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
 def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to ``PIECES`` rows."""
     spark = cut_pieces.sparkSession
+    # A number of the row deals equal rows apart; written, so that it stays the same in every use.
+    cut_pieces = stored(cut_pieces.withColumn("deal", F.xxhash64("k1", "k2", "piece", F.monotonically_increasing_id())), "packing-pieces")
     cells = cut_pieces.groupBy("length").agg(F.count("*").alias("n"))
     counts = {int(r.length): int(r.n) for r in cells.collect()}
-    total = sum(counts.values())
-    salts = max(SALTS, -(-total // CELL))
+    salts = spark.createDataFrame([(n, -(-c // CELL)) for n, c in counts.items()], "length long, salts long")
     # Per length: ranges of ranks, each the pieces that one pattern takes at `each` a sequence.
     rows, base, taken = [], 0, dict.fromkeys(counts, 0)
     for lengths, times in plan(counts, capacity):
@@ -160,11 +160,12 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     starts: dict[int, list[int]] = {}
     for r in marks:
         starts.setdefault(r[0], []).append(r[1])
-    salted = cut_pieces.withColumn("salt", F.pmod(F.xxhash64("k1", "k2", "piece"), F.lit(salts)).cast("int"))
+    # At most a row for each length up to the capacity.
+    salted = cut_pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod("deal", "salts").cast("int")).drop("salts")
     sizes = stored(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "packing-cells")
     before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)))
     before = before.select("length", "salt", F.coalesce("before", F.lit(0)).alias("before"))
-    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("k1", "k2", "piece")) - 1)
+    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("k1", "k2", "piece", "deal")) - 1)
     ranked = ranked.join(before, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
     held = spark.sparkContext.broadcast((marks, starts, [n for n in starts]))
 
@@ -185,11 +186,11 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
             ].astype({"doc_id": "Int64"})
 
-    return ranked.drop("salt", "before").mapInPandas(
+    return ranked.drop("salt", "before", "deal").mapInPandas(
         place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     )
 
 
 def pack_documents(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """Every document of ``documents`` packed into sequences of at most ``capacity`` tokens."""
-    return pack(stored(pieces(documents, tokenizer, capacity), "packing-pieces"), capacity)
+    return pack(pieces(documents, tokenizer, capacity), capacity)

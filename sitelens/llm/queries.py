@@ -56,12 +56,6 @@ def op8_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in ("log_score", "score")})
 
 
-def op8_backoff_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Operator 8 with trigrams; ``op8_backoff_scores`` is held to its SQL, which ends at bigrams."""
-    out = backoff.score(_table(spark, sf_dir, "documents"), order=3)
-    return out.withColumns({c: F.round(c, 6) for c in ("log_score", "score")})
-
-
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score_documents(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
@@ -81,7 +75,6 @@ _QUERIES = (
     op6_gif_media,
     op7_raked_mix,
     op8_backoff_scores,
-    op8_backoff_trigrams,
     op9_toxicity,
     op10_fuzzy_lines,
 )

@@ -33,14 +33,20 @@ OP5 = (
     "select doc_id, min(head) as class_id, (select count(*) from l where x = r.doc_id) as n_links from r group by doc_id"
 )
 
+_MISS2 = "(b.v is not null and c2.n < 2)"
+_HIT3 = "(b.u is not null and c3.n >= 2)"
+_LOWER = "case when b.v is not null and c2.n >= 2 then ln(c2.n::double / p.n) else case when b.v is null then 0 else ln(0.4::double) end + ln(a.n / total.n) end"
 OP8 = (
-    f"with w as (select doc_id, {_WORDS} as w from documents), t as (select doc_id, unnest(w) as w, generate_subscripts(w, 1) as i from w), "
-    "b as (select *, lag(w) over (partition by doc_id order by i) as v from t), c1 as (select w, count(*) as n from t group by w), c2 as (select v, w, count(*) as n from b where v is not null group by v, w), "
+    f"with d as (select row_number() over () as r, doc_id, {_WORDS} as w from documents), t as (select r, unnest(w) as w, generate_subscripts(w, 1) as i from d), "
+    "b as (select r, w, lag(w) over (partition by r order by i) as v, lag(w, 2) over (partition by r order by i) as u from t), c1 as (select w, count(*) as n from t group by w), "
+    "c2 as (select v, w, count(*) as n from b where v is not null group by v, w), c3 as (select u, v, w, count(*) as n from b where u is not null group by u, v, w), "
     "total as (select count(*)::double as n from t), "
-    "s as (select b.doc_id, b.v is not null and c2.n < 2 as miss, case when b.v is null then ln(a.n / total.n) when c2.n >= 2 then ln(c2.n::double / p.n) else ln(0.4::double) + ln(a.n / total.n) end as x "
-    "from b cross join total join c1 a on a.w = b.w left join c1 p on p.w = b.v left join c2 on c2.v = b.v and c2.w = b.w), "
-    "g as (select doc_id, count(*) as n_words, count(*) filter (miss) as backed_off, sum(x) as log_score from s group by doc_id) "
-    "select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(backed_off, 0) as backed_off, round(log_score, 6) as log_score, round(log_score / n_words, 6) as score from documents d left join g using (doc_id)"
+    f"s as (select b.r, case when {_HIT3} then 0 else (b.u is not null)::int + {_MISS2}::int end as miss, "
+    f"case when {_HIT3} then ln(c3.n::double / q.n) else case when b.u is null then 0 else ln(0.4::double) end + {_LOWER} end as x "
+    "from b cross join total join c1 a on a.w = b.w left join c1 p on p.w = b.v left join c2 on c2.v = b.v and c2.w = b.w "
+    "left join c2 q on q.v = b.u and q.w = b.v left join c3 on c3.u = b.u and c3.v = b.v and c3.w = b.w), "
+    "g as (select r, count(*) as n_words, sum(miss)::bigint as backed_off, sum(x) as log_score from s group by r) "
+    "select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(backed_off, 0) as backed_off, round(log_score, 6) as log_score, round(log_score / n_words, 6) as score from d left join g using (r)"
 )
 
 SQL = {"op2_warc_revisits": OP2, "op3_exact_top_k": OP3, "op5_ngram_jaccard": OP5, "op7_raked_mix": mixing.ORACLE_SQL, "op8_backoff_scores": OP8}

@@ -27,12 +27,26 @@ def forward_filled(blocks: DataFrame, by: str, order: str, heading: Column) -> D
     return blocks.withColumn("heading", F.last(heading, ignorenulls=True).over(w))
 
 
+#: Path rules are configuration; more than these are refused instead of being put into a plan.
+MOST_RULES = 1000
+
+
 def longest_prefix(paths: DataFrame, rules: DataFrame, path_col: str = "path") -> DataFrame:
-    """Adds the rule of the longest prefix of each path. ``rules(prefix, ...)`` is configuration, so it is broadcast."""
-    cols = [c for c in rules.columns if c != "prefix"]
-    best = F.max_by(F.struct("prefix", *cols), F.length("prefix")).alias("rule")
-    joined = paths.join(F.broadcast(rules), F.startswith(F.col(path_col), F.col("prefix")), "left")
-    return joined.groupBy(*paths.columns).agg(best).select(*paths.columns, "rule.*")
+    """Adds the rule of the longest prefix of each path; without any its columns are null.
+
+    ``rules(prefix, ...)`` is configuration: its rows become one expression, so the paths neither shuffle nor join.
+    Rows of equal paths stay apart.
+    """
+    held = rules.limit(MOST_RULES + 1).collect()
+    if len(held) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} path rules")
+    kinds = {f.name: f.dataType for f in rules.schema.fields}
+    order = sorted(held, key=lambda r: (-len(r.prefix), r.prefix, str(r)))
+    if order:
+        made = [F.struct(*[F.lit(r[c]).cast(kinds[c]).alias(c) for c in rules.columns]) for r in order]
+        rule = F.coalesce(*[F.when(F.startswith(F.col(path_col), F.lit(r.prefix)), m) for r, m in zip(order, made, strict=True)])
+        return paths.select("*", rule.alias("_rule")).select(*paths.columns, "_rule.*")
+    return paths.select("*", *[F.lit(None).cast(kinds[c]).alias(c) for c in rules.columns])
 
 
 def with_overrides(documents: DataFrame, overrides: DataFrame, key: str = "path") -> DataFrame:

@@ -11,22 +11,37 @@ from pyspark.sql.types import StructType
 from sitelens.functions import rules
 
 
-def flatten_paths(rows: DataFrame, json_col: str, *keep: str) -> DataFrame:
-    """``path, value`` of each leaf of a JSON object; nested keys join by dots, lists are leaves.
+def flatten_paths(rows: DataFrame, json_col: str, *keep: str, skip: Sequence[str] = ()) -> DataFrame:
+    """``path, value`` of each leaf of a JSON object; nested keys join by dots; lists and empty objects are leaves.
 
-    Objects unfold level by level over maps of raw JSON; the depth of the loop is that of
-    the documents' nesting bound, not of the data's size.
+    ``value`` is the leaf's JSON text, so ``"50"`` and ``50`` differ and a string that looks like an object stays a
+    string. Keys of the top level in ``skip`` are left out. Objects unfold level by level until none is left; each level is one
+    generator, and the loop ends with the deepest object of the data.
     """
-    depth = 6
-    level = rows.select(*keep, F.explode_outer(F.from_json(json_col, "map<string,string>")).alias("path", "value")).where("path is not null")
-    done = None
-    for _ in range(depth):
-        inner = F.when(F.startswith(F.ltrim("value"), F.lit("{")), F.from_json("value", "map<string,string>"))
-        level = level.withColumn("_m", inner)
-        leaf = level.where(F.col("_m").isNull() | (F.size("_m") == 0)).drop("_m")
+    spark = rows.sparkSession
+    level = rows.select(*keep, F.lit("").alias("path"), F.parse_json(json_col).alias("value")).where(F.col("value").isNotNull())
+    done, top = None, True
+    while True:
+        kind = F.schema_of_variant("value")
+        is_object = F.startswith(kind, F.lit("OBJECT<")) & (kind != "OBJECT<>")
+        leaf = level.where(~is_object & (F.col("path") != "")).select(*keep, "path", F.to_json("value").alias("value"))
         done = leaf if done is None else done.unionByName(leaf)
-        level = level.where(F.size("_m") > 0).select(*keep, "path", F.explode("_m").alias("k", "v")).select(*keep, F.concat_ws(".", "path", "k").alias("path"), F.col("v").alias("value"))
-    return done.unionByName(level)
+        objects = level.where(is_object)
+        if objects.isEmpty():
+            return done
+        inner = objects.lateralJoin(spark.tvf.variant_explode(F.col("value").outer()).select(F.col("key").alias("_key"), F.col("value").alias("_child")))
+        level = inner.select(*keep, F.concat_ws(".", F.nullif("path", F.lit("")), "_key").alias("path"), F.col("_child").alias("value"))
+        if top and skip:
+            level = level.where(~F.col("path").isin(*skip))
+        top = False
+
+
+def input_changes(before: DataFrame, after: DataFrame, *keys: str) -> DataFrame:
+    """``path, previous, current, change_kind`` of flattened inputs ``(keys, path, value)`` that differ; absent paths are null."""
+    on = [*keys, "path"]
+    joined = before.select(*on, F.col("value").alias("previous")).join(after.select(*on, F.col("value").alias("current")), on, "full")
+    kind = F.when(F.col("previous").isNull(), "added").when(F.col("current").isNull(), "removed").otherwise("changed")
+    return joined.where(~F.col("previous").eqNullSafe(F.col("current"))).withColumn("change_kind", kind)
 
 
 def flatten_struct(df: DataFrame, column: str) -> list[Column]:

@@ -35,10 +35,13 @@ def coordinate_filter(rows: DataFrame, x: str, y: str, x_range: tuple[float, flo
 
 
 def quality(layer: DataFrame, by: str, rings: str = "rings") -> DataFrame:
-    """Per layer: feature, empty and invalid counts, types and bounds."""
+    """Per layer: feature, empty and invalid counts, types and bounds.
+
+    A ring that begins inside another is a hole of it and makes no further part.
+    """
     x1, y1, x2, y2 = geo.bounds(F.col(rings))
     empty = F.coalesce(F.size(rings) == 0, F.lit(True))
-    kind = F.when(F.size(rings) == 1, "Polygon").when(F.size(rings) > 1, "MultiPolygon")
+    kind = F.when(F.size(rings) == 0, None).when(geo.outer_rings(F.col(rings)) == 1, "Polygon").otherwise("MultiPolygon")
     return layer.groupBy(F.col(by).alias("layer")).agg(
         F.count("*").alias("features"),
         F.count_if(empty).alias("empty"),
@@ -118,11 +121,14 @@ def preferred_references(references: DataFrame, marker: str) -> DataFrame:
 
 
 def with_source_layer(nearest: DataFrame, sources: DataFrame) -> DataFrame:
-    """Provenance by caseless layer name, else that of the default source."""
-    key = F.lower("source_layer")
-    named = sources.select(F.lower("layer").alias("_key"), F.col("provenance").alias("_own"))
-    fallback = sources.where("is_default").select(F.col("provenance").alias("_default")).limit(1)
-    return nearest.withColumn("_key", key).join(F.broadcast(named), "_key", "left").join(F.broadcast(fallback)).withColumn("provenance", F.coalesce("_own", "_default")).drop("_key", "_own", "_default")
+    """Provenance by caseless layer name, else that of the default source, else null; every row comes back once.
+
+    Of several sources of one layer name, or several defaults, the least provenance counts.
+    """
+    named = sources.groupBy(F.lower("layer").alias("_key")).agg(F.min("provenance").alias("_own"))
+    default = sources.where("is_default").agg(F.min("provenance")).scalar()
+    joined = nearest.withColumn("_key", F.lower("source_layer")).join(named, "_key", "left")
+    return joined.withColumn("provenance", F.coalesce("_own", default)).select(*nearest.columns, "provenance")
 
 
 def flood_identity(zip_name: Column, layer: Column) -> tuple[Column, Column]:

@@ -91,3 +91,25 @@ def evaluate(ranked: DataFrame, gold: DataFrame) -> DataFrame:
     return hits.groupBy("qid").agg(
         F.round(share(5), 6).alias("recall_5"), F.round(share(10), 6).alias("recall_10"), F.round(F.coalesce(F.lit(1.0) / F.min("rank"), F.lit(0.0)), 6).alias("rr")
     )
+
+
+def leakage(results: DataFrame, requests: DataFrame) -> DataFrame:
+    """One row: over all ``requests(qid, jurisdiction)`` the share with an authoritative hit and the shares whose results hold
+    what they should not: old versions, restricted or archived sources, another jurisdiction, claims under review.
+
+    ``results(qid, source_class, document_status, jurisdiction, review, verification_status)``.
+    """
+    asked = results.join(requests.select("qid", F.col("jurisdiction").alias("asked")), "qid")
+    some = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    allowed = rules.jurisdiction_allowed(F.col("jurisdiction"), F.col("asked"))
+    per = asked.groupBy("qid").agg(
+        some((F.col("source_class") == "PRIMARY") & (F.col("document_status") == "CURRENT")).alias("authoritative_source_hit_rate"),
+        some(F.col("document_status").isin("PROPOSED", "HISTORICAL", "SUPERSEDED")).alias("historical_leakage_rate"),
+        some(F.col("source_class").isin("RESTRICTED", "ARCHIVE")).alias("restricted_archive_leakage_rate"),
+        some(F.col("asked").isNotNull() & ~allowed).alias("jurisdiction_leakage_rate"),
+        some(F.coalesce("review", F.lit(False)) | F.col("verification_status").eqNullSafe(F.lit("REVIEW_REQUIRED"))).alias("flagged_claim_leakage_rate"),
+    )
+    names = [c for c in per.columns if c != "qid"]
+    every = requests.select("qid").distinct().join(per, "qid", "left")
+    total = F.greatest(F.count("*"), F.lit(1))
+    return every.agg(F.count("*").alias("cases"), *[F.round(F.count_if(F.coalesce(c, F.lit(False))) / total, 6).alias(c) for c in names])

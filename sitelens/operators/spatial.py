@@ -75,32 +75,51 @@ def nearest_k(pairs: DataFrame, k: int, order: str = "feature_id") -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("site_id").orderBy("distance", order))).where(F.col("rank") <= k)
 
 
+def k_within(sites: DataFrame, points: DataFrame, radius: float, k: int, order: str = "feature_id", steps: int = 4) -> DataFrame:
+    """The ``k`` nearest points within ``radius`` of each site, with ``distance`` and ``rank``.
+
+    Expanding search: a site whose k nearest lie within a small reach never meets the points beyond; the reach doubles, and
+    only sites with fewer answers go on. So pairs carried follow ``k``, not the points within ``radius``.
+    """
+    left, out = sites, None
+    for step in range(steps, -1, -1):
+        found = nearest_k(within_radius(left, points, radius / 2**step), k, order)
+        if step:
+            full = found.groupBy("site_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= k).select("site_id")
+            found, left = found.join(full, "site_id", "left_semi"), left.join(full, "site_id", "left_anti")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def _nearest_of(pairs: DataFrame) -> DataFrame:
     best = pairs.groupBy("site_id").agg(F.min(F.struct("distance", "feature_id")).alias("b"))
     return best.select("site_id", F.col("b.feature_id").alias("feature_id"), F.col("b.distance").alias("distance"))
 
 
-def nearest_polygon(sites: DataFrame, features: DataFrame, rings_of_cells: Sequence[float] = (1000.0, 5000.0, 25000.0)) -> DataFrame:
-    """``site_id, feature_id, distance`` of the exact nearest polygon (0 where one covers the site).
+def box_distance(x: Column, y: Column) -> Column:
+    """Distance from a point to a feature's box, a lower bound of that to the feature."""
+    zero = F.lit(0.0)
+    return F.hypot(F.greatest(F.col("xmin") - x, zero, x - F.col("xmax")), F.greatest(F.col("ymin") - y, zero, y - F.col("ymax")))
+
+
+#: Reaches of the nearest-feature search in metres; the last spans any two places.
+REACHES = (100.0, 1000.0, 5000.0, 25_000.0, 100_000.0, 500_000.0, 50_000_000.0)
+
+
+def nearest_polygon(sites: DataFrame, features: DataFrame, reaches: Sequence[float] = REACHES, measure=geo.polygon_distance) -> DataFrame:
+    """``site_id, feature_id, distance`` of the exact nearest feature (0 where a polygon covers the site).
 
-    Expanding search: features within the first reach answer most sites through the grid; only sites
-    without an answer whose distance is within the reach go on, and the last ones are compared with
-    all features.
+    Expanding search through grid cells as wide as the reach: features whose box is within the reach are measured, and a site
+    whose answer is within it is done; the others go on to the next reach. No site meets features beyond its reach.
     """
-    held, left, parts = boxed(features), sites, []
-    for reach in rings_of_cells:
-        near = site_cells(left, reach).join(in_cells(held, reach, reach), ["cx", "cy"])
-        pairs = near.withColumn("distance", geo.polygon_distance(F.col("rings"), F.col("x"), F.col("y"))).where(F.col("distance") <= reach)
-        # One row a site, asked for by the answer and by every wider reach: kept while the session runs.
-        got = _nearest_of(pairs).persist()
-        parts.append(got)
-        left = left.join(got.select("site_id"), "site_id", "left_anti")
-    # Whatever is farther than the last reach: every feature, an aggregate per site.
-    far = left.join(held.select("feature_id", "rings"))
-    parts.append(_nearest_of(far.withColumn("distance", geo.polygon_distance(F.col("rings"), F.col("x"), F.col("y"))).where(F.col("distance").isNotNull())))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    held, left, out = boxed(features), sites, None
+    x, y = F.col("x"), F.col("y")
+    for n, reach in enumerate(reaches):
+        near = site_cells(left, reach).join(in_cells(held, reach, reach), ["cx", "cy"]).where(box_distance(x, y) <= reach)
+        got = _nearest_of(near.withColumn("distance", measure(F.col("rings"), x, y)).where(F.col("distance") <= reach))
+        out = got if out is None else out.unionByName(got)
+        if n + 1 < len(reaches):
+            left = left.join(got.select("site_id"), "site_id", "left_anti")
     return out
 
 

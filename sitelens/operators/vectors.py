@@ -35,14 +35,29 @@ def cosine(vectors: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def embedding_batches(records: DataFrame, id_col: str, size: Column, part: Column, max_items: int = K.MAX_BATCH_ITEMS, max_size: int = K.MAX_BATCH_TOKENS) -> DataFrame:
-    """``id, part, batch``: batches of at most ``max_items`` records and about ``max_size`` units.
+    """``id, part, batch, size``: the requests to an embedding service, in order of ids inside each part.
 
-    Records are dealt into parts first; inside one, a running item count and a running size cut
-    the batches, so no task ever orders the whole table.
+    A record opens a new batch when the open one holds ``max_items`` records or its size would pass ``max_size``;
+    a record that is larger by itself is refused with an error. Which batch a record falls into depends on all before
+    it in its part, so one pass over the sorted part carries the open batch from one Arrow batch to the next.
     """
     own = records.select(F.col(id_col).alias("id"), part.alias("part"), size.cast("long").alias("size"))
-    order = Window.partitionBy("part").orderBy("id")
-    n = F.row_number().over(order) - 1
-    before = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    cut = F.greatest(F.floor(n / F.lit(max_items)), F.floor(before / F.lit(max_size)))
-    return own.withColumn("batch", cut.cast("long")).select("id", "part", "batch", "size")
+    schema = own.select("id", "part", F.lit(0).cast("long").alias("batch"), "size").schema
+
+    def cut(frames):
+        now, batch, items, total = None, 0, 0, 0
+        for frame in frames:
+            numbers = []
+            for at, record, n in zip(frame["part"], frame["id"], frame["size"], strict=True):
+                if n > max_size:
+                    raise ValueError(f"record {record} has size {n}, above the limit of a batch, {max_size}")
+                if at != now:
+                    now, batch, items, total = at, 0, 0, 0
+                elif items >= max_items or total + n > max_size:
+                    batch, items, total = batch + 1, 0, 0
+                items, total = items + 1, total + n
+                numbers.append(batch)
+            frame["batch"] = numbers
+            yield frame[["id", "part", "batch", "size"]]
+
+    return own.repartition("part").sortWithinPartitions("part", "id").mapInPandas(cut, schema)

@@ -29,26 +29,34 @@ def write_layers(layers: DataFrame, path: str, layer_col: str = "source_layer")
 
 
 def publish(tables: Mapping[str, DataFrame], target: str, manifest: DataFrame) -> None:
-    """Writes all tables and the manifest beside ``target`` and swaps them in by renames, the manifest last.
+    """Writes all tables and the manifest beside ``target``, the manifest last, and swaps the whole set in by two renames.
 
-    Any failure while writing leaves the published set as it was.
+    The live set is only moved aside, and deleted once the new one is in its place; a failure at any
+    step leaves, or puts back, the set as it was.
     """
     spark = manifest.sparkSession
-    stage = f"{target.rstrip('/')}.staging-{uuid.uuid4().hex}"
+    base, mark = target.rstrip("/"), uuid.uuid4().hex
+    stage, aside = f"{base}.staging-{mark}", f"{base}.before-{mark}"
     fs, path = _fs(spark, target)
+
+    def move(a: str, b: str) -> None:
+        if not fs.rename(path(a), path(b)):
+            raise OSError(f"cannot rename {a} to {b}")
+
+    held = fs.exists(path(base))
     try:
         for name, df in tables.items():
             df.write.parquet(f"{stage}/{name}")
         write_manifest(manifest, f"{stage}/manifest")
+        if held:
+            move(base, aside)
+        move(stage, base)
     except Exception:
+        if held and fs.exists(path(aside)) and not fs.exists(path(base)):
+            move(aside, base)
         fs.delete(path(stage), True)
         raise
-    fs.mkdirs(path(target))
-    fs.delete(path(f"{target}/manifest"), True)
-    for name in [*tables, "manifest"]:
-        fs.delete(path(f"{target}/{name}"), True)
-        fs.rename(path(f"{stage}/{name}"), path(f"{target}/{name}"))
-    fs.delete(path(stage), True)
+    fs.delete(path(aside), True)
 
 
 def is_published(spark: SparkSession, target: str) -> bool:

@@ -230,11 +230,27 @@ def test_mixing_meets_margins_and_budget(spark):
     assert mixing.drawn(docs, keep=1.0).count() == 600
 
 
+def test_mixing_meets_given_weights(spark):
+    """Source weights from the caller hold after raking, beside the natural languages and topics; full cells give what they lack to others."""
+    rng = random.Random(12)
+    rows = [(i, " ".join(["word"] * rng.randint(1, 60)), rng.choice(["en", "de"]), rng.choice(["a", "a", "a", "b", "c"])) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    cells = mixing.rake(mixing.cells_of(mixing.described(docs)), {"lang": 1.0}, {"source": {"b": 0.6, "c": 0.1}}).toPandas()
+    assert cells.groupby("source").w.sum().round(6).to_dict() == {"a": 0.3, "b": 0.6, "c": 0.1}
+    assert np.allclose(cells.groupby("lang").w.sum(), cells.groupby("lang").t.sum() / cells.t.sum(), atol=1e-6)
+    got = mixing.sample(docs, keep=0.5, targets={"source": {"b": 0.6, "c": 0.1}}).toPandas()
+    assert abs((got.tokens * got.probability).sum() / got.tokens.sum() - 0.5) < 1e-3
+    assert got[got.source == "b"].probability.max() == 1
+
+
 def test_mixing_odd_rows(spark):
     docs = odd_docs(spark)
     assert mixing.sample(docs).count() == 8
     assert mixing.drawn(docs).columns == docs.columns
     assert mixing.sample(docs.limit(0)).count() == 0
+    clash = docs.withColumns({"_source": F.lit("own"), "_P": F.lit(3)})
+    kept = mixing.drawn(clash, keep=1.0)
+    assert kept.columns == clash.columns and {tuple(r) for r in kept.select("_source", "_P").collect()} == {("own", 3)}
 
 
 def brute_lines(texts):
@@ -314,7 +330,7 @@ def test_lines_found_of_all_pairs(spark):
     have = {(i, n) for i, ns in got.items() for n in ns}
     assert len(links) > 20 and len(want & have) >= 0.95 * len(want) and len(have - want) <= 0.01 * len(want)
     found = linededup.occurrences(docs)
-    groups = {r.node: r.component for r in linededup.line_groups(found, found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "k1", "k2", "line_no")).alias("first"))).collect()}
+    groups = {r.node: r.component for r in linededup.line_groups(found).collect()}
     node = {r.norm: r.h1 for r in found.select("norm", "h1").distinct().collect()}
     assert sum(groups.get(node[a], a) == groups.get(node[b], b) for a, b in links) >= 0.9 * len(links)
 

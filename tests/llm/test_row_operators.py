@@ -59,6 +59,43 @@ def test_filters_have_no_false_negatives():
     assert all((model.table[rows] & 2).all() for rows in model.positions(grams))
 
 
+def test_more_languages_than_a_mask_word(spark):
+    """Seventy languages are all learned; those beyond the 64th are found like the others."""
+    rng = random.Random(6)
+    rows = []
+    for k in range(70):
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(12)]
+        rows += [(100 * k + i, " ".join(rng.choice(words) for _ in range(40)), f"l{k:02d}") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(docs)
+    assert len(model.languages) == 70 and model.table.shape[1] == 2
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs, model).collect()}
+    assert all(got[i] == lang for i, _, lang in rows)
+
+
+def test_language_counts_equal_plain_sets():
+    """Corrected counts and the decision against plain sets of n-grams and the same arithmetic."""
+    texts = {"a": "one two three four five six seven", "b": "uno dos tres cuatro cinco seis siete"}
+    model = langid.LanguageFilters(["a", "b"], np.zeros((1 << 12, 1), np.uint8), np.zeros(2), 12)
+    for k, t in enumerate(texts.values()):
+        for grams in langid._all_grams([t]):
+            for rows in model.positions(np.unique(grams)):
+                model.table[rows, 0] |= 1 << k
+        model.fill[k] = (model.table[:, 0] >> k & 1).mean()
+    probe = "three cuatro seis seven dos"
+    counts = np.zeros(2)
+    total = 0
+    for grams in langid._all_grams([probe]):
+        total += len(grams)
+        for g in grams:
+            for k in range(2):
+                counts[k] += all(model.table[r[0], 0] >> k & 1 for r in model.positions(np.array([g])))
+    false = model.fill**langid.HASHES
+    true = np.maximum(0, (counts - total * false) / (1 - false))
+    names, share = model.score([probe])
+    assert names[0] == "ab"[int(true.argmax())] and share[0] == pytest.approx(true.max() / true.sum())
+
+
 def test_warc_round_trip(spark):
     long, short = "x" * 1000, "y" * 999
     rows = [(1, "u", long, 0), (9, None, long, 0), (4, "u", long, 0), (2, "u", short, 0), (3, "u", short, 0), (5, "u", None, 0), (6, "u", "a\r\n\r\nWARC/1.1\r\n" * 90, 0), (None, "u", "z", 0), (7, "ü", "é" * 600, 0)]
@@ -98,6 +135,37 @@ def test_top_k_equals_brute_force(spark):
     assert sorted(tuple(r) for r in got.collect()) == want
 
 
+def test_top_k_of_large_components(spark):
+    """No finite vector is dropped; products beyond a double's whole numbers are exact, beyond a long's they are its ends."""
+    rows = [(0, [1e14, 1.0]), (1, [1e6, -1.0]), (2, [1e6, 2.0]), (3, [-1e30, 0.0]), (4, [0.5, 0.5]), (5, [1e6, 3.0])]
+    v = balltree.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    ints = {r.vec_id: [int(x) for x in r.v] for r in v.collect()}
+    assert set(ints) == set(range(6))
+    cut = lambda x: max(-(2**63 - 2), min(2**63 - 2, x))
+    for q in (0, 4):
+        want = sorted(((-cut(sum(a * b for a, b in zip(ints[q], ints[i], strict=True))), i) for i in ints if i != q))
+        got = sorted((r.rank, r.vec_id, r.score) for r in balltree.top_k(v, v.where(f"vec_id = {q}"), k=5, shard_rows=3).collect())
+        assert got == [(n + 1, i, -s) for n, (s, i) in enumerate(want)]
+
+
+def test_tree_walk_visits_few_leaves():
+    """Bounds hold for every node, and a query near one cluster leaves most of the tree unvisited."""
+    rng = np.random.default_rng(2)
+    data = np.concatenate([np.floor(rng.normal(c * 400, 20, (200, 8))) for c in range(12)])
+    tree = balltree.BallTree(data, 16)
+    queries = np.floor(rng.normal(0, 300, (20, 8)))
+    top = tree.bounds(queries)
+    for node, rows in enumerate(tree.rows):
+        if rows is not None:
+            assert (tree.products(queries, rows) <= top[:, [node]]).all()
+    seen = []
+    plain = tree.products
+    tree.products = lambda q, rows: seen.append(len(q)) or plain(q, rows)
+    best, _ = balltree._search(tree, np.arange(len(data)), np.full(20, -1), queries, 3, np.full(20, balltree._NONE))
+    assert np.array_equal(best, -np.sort(-(queries @ data.T).astype(np.int64), axis=1)[:, :3])
+    assert sum(seen) < 0.5 * 20 * sum(r is not None for r in tree.rows)
+
+
 def test_top_k_small_and_empty(spark):
     v = spark.createDataFrame([(0, [1, 2]), (1, [3, 4])], "vec_id long, v array<long>")
     assert [tuple(r) for r in balltree.top_k(v, v.where("vec_id = 0"), 5).collect()] == [(0, 1, 1, 11)]
