@@ -96,7 +96,7 @@ def _bit(mask: np.ndarray, k: int) -> np.ndarray:
     """Whether the bit of language ``k`` is set in each row of masks."""
     word, at = divmod(k, WORD)
     one = mask.dtype.type(1)
-    return (mask.reshape(len(mask), -1)[:, word] >> mask.dtype.type(at)) & one
+    return (mask[:, word] >> mask.dtype.type(at)) & one
 
 
 def _grams(buf: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -186,10 +186,10 @@ def _oracle() -> str:
             k += 1
     parts.append(f"p0 as (select source, lang, topic, t, case when t > 0 then w / (t / total) else 1 end as f from w{k})")
     parts.append(
-        "o as (select f, coalesce(sum(t) over (order by f desc, source, lang, topic rows between unbounded preceding and 1 preceding), 0) as full, "
+        "o as (select f, coalesce(sum(t) over (order by f desc, source, lang, topic rows between unbounded preceding and 1 preceding), 0) as taken, "
         "sum(t * f) over (order by f desc, source, lang, topic rows between current row and unbounded following) as rest, sum(t) over () as every from p0 where t > 0)"
     )
-    parts.append(f"s as (select min(c) as c from (select f, greatest(0, {KEEP} * every - full) / rest as c from o where rest > 0) where c * f <= 1)")
+    parts.append(f"s as (select max(c) as c from (select f, greatest(0, {KEEP} * every - taken) / rest as c from o where rest > 0) where c * f <= 1)")
     parts.append("p as (select source, lang, topic, f, case when f <= 0 then 0 else least(1.0, coalesce(c, 1e9) * f) end as p from p0, s)")
     return (
         "with " + ", ".join(parts) + " select doc_id, source, lang, topic, tokens, round(f, 6) as weight, round(p, 6) as probability, "

@@ -195,7 +195,7 @@ def test_backoff_query_counts_trigrams(spark, tmp_path):
     """A registered query looks at two words of context, and backs off twice."""
     texts = ["a b c", "a b c", "x b d", "x b d", "q w e"]
     spark.createDataFrame(list(enumerate(texts)), DOC).write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r for r in queries.queries()["op8_backoff_trigrams"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r for r in queries.queries()["op8_backoff_scores"](spark, str(tmp_path)).collect()}
     # c follows b in two of four cases, but always after "a b".
     assert abs(got[0].log_score - math.log(2 / 15 * 1 * 1)) < 1e-5 and got[0].backed_off == 0
     assert abs(got[4].log_score - math.log(1 / 15 * 0.4 / 15 * 0.4 * 0.4 / 15)) < 1e-5 and got[4].backed_off == 3
