@@ -1,6 +1,6 @@
 """Toxicity by a factorization machine over hashed terms (operator 9).
 
-Terms are the words of a text and their first five bytes, hashed to 2**20 buckets. A bounded sample
+Terms are the words of a text and their first four bytes, hashed to 2**20 buckets. A bounded sample
 of labelled documents teaches: every bucket in at least ``MIN_ROWS`` of its documents is a feature, whether
 or not it is tied to the label by itself, since two terms may matter only together. The machine ``w0 + w.x + 1/2 sum_f ((V_f.x)^2 - (V_f^2).(x^2))`` over their presence learns the
 linear weights and, through the factors, which pairs matter together. Scoring is row by row in
@@ -160,15 +160,20 @@ def learn(documents: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_L
             found = []
             for first, past, buckets, bounds in term_buckets(batch["text"].tolist()):
                 found += [np.unique(buckets[bounds[i] : bounds[i + 1]]).astype(np.int32).tobytes() for i in range(past - first)]
-            yield pd.DataFrame({"toxic": batch["toxic"], "terms": found})
-
-    got = texts.select("toxic", "text").mapInPandas(features, "toxic int, terms binary").toLocalIterator()
-    rows, ys = [], []
-    for r in got:
-        rows.append(np.frombuffer(r.terms, np.int32))
-        ys.append(r.toxic)
-    order = sorted(range(len(rows)), key=lambda i: (ys[i], len(rows[i]), rows[i].tobytes()))
-    return train([rows[i] for i in order], np.array([ys[i] for i in order], float))
+            yield pd.DataFrame({"sample": 0, "toxic": batch["toxic"], "terms": found})
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        """The whole sample, which ``per_label`` bounds, in one task: the driver holds only the machine."""
+        order = sorted(range(len(rows)), key=lambda i: (rows["toxic"][i], len(rows["terms"][i]), rows["terms"][i]))
+        m = train([np.frombuffer(rows["terms"][i], np.int32) for i in order], np.array([rows["toxic"][i] for i in order], float))
+        return pd.DataFrame([(m.slot.tobytes(), float(m.bias), m.weights.tobytes(), m.factors.tobytes())], columns=["slot", "bias", "weights", "factors"])
+
+    rows = texts.select("toxic", "text").mapInPandas(features, "sample int, toxic int, terms binary")
+    got = rows.groupBy("sample").applyInPandas(fit, "slot binary, bias double, weights binary, factors binary").first()
+    if got is None:
+        return train([], np.zeros(0))
+    weights = np.frombuffer(got.weights)
+    return FactorizationMachine(np.frombuffer(got.slot, np.int32), got.bias, weights, np.frombuffer(got.factors).reshape(len(weights), -1))
 
 
 def score_column(model: FactorizationMachine, text: Column | str, df: DataFrame) -> Column:
