@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.llm import jaccard, linededup, mixing, packing, toxicity
-from sitelens.llm.common import private, row_keys, stored
+from sitelens.llm.common import private, release, row_keys, stored
 from sitelens.llm.queries import tokenizer_path
 
 #: The sample that training reads holds this share of the tokens that reach the mixing stage.
@@ -79,4 +79,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        # A stage leaves hundreds of finished jobs, shuffles and broadcasts on the driver.
+        release(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
