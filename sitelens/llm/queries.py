@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelens.llm import backoff, balltree, gif, jaccard, langid, linededup, mixing, packing, sql, toxicity, warc
+from sitelens.llm import backoff, balltree, gif, hilbert, jaccard, langid, linededup, mixing, packing, sql, toxicity, trie, warc
 
 
 def tokenizer_path() -> str:
@@ -66,6 +66,14 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "removed_lines", "text")
 
 
+def op11_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.document_shards(_table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
 _QUERIES = (
     op1_language_id,
     op2_warc_revisits,
@@ -77,6 +85,8 @@ _QUERIES = (
     op8_backoff_scores,
     op9_toxicity,
     op10_fuzzy_lines,
+    op11_hilbert_shards,
+    op12_prefix_trie,
 )
 
 
