@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelens.llm import backoff, balltree, gif, hilbert, jaccard, langid, linededup, mixing, packing, sql, toxicity, trie, warc
+from sitelens.llm import backoff, balltree, gif, hilbert, jaccard, langid, linededup, mixing, packing, phrases, sql, toxicity, trie, warc
 
 
 def tokenizer_path() -> str:
@@ -74,6 +74,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.conversation_trie(_table(spark, sf_dir, "conversations"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 _QUERIES = (
     op1_language_id,
     op2_warc_revisits,
@@ -87,6 +91,7 @@ _QUERIES = (
     op10_fuzzy_lines,
     op11_hilbert_shards,
     op12_prefix_trie,
+    op13_phrase_collocations,
 )
 
 
