@@ -71,7 +71,7 @@ def op11_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trie.conversation_trie(_table(spark, sf_dir, "conversations"))
+    return trie.conversation_trie(_table(spark, sf_dir, "conversations")).drop("rank", "subtree_end")
 
 
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,4 +49,37 @@ OP8 = (
     "select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(backed_off, 0) as backed_off, round(log_score, 6) as log_score, round(log_score / n_words, 6) as score from d left join g using (r)"
 )
 
-SQL = {"op2_warc_revisits": OP2, "op3_exact_top_k": OP3, "op5_ngram_jaccard": OP5, "op7_raked_mix": mixing.ORACLE_SQL, "op8_backoff_scores": OP8}
+# The checksum of a conversation id, a step a bit: a byte goes in, then eight shifts.
+_CRC = (
+    "xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(conv_id::varchar, ''), lambda c: [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))), "
+    "lambda a, x: case when x >= 0 then xor(a, x) when a % 2 = 1 then xor(a >> 1, 3988292384) else a >> 1 end), 4294967295)"
+)
+OP12 = (
+    "with own as (select conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} order by turn nulls first) as t from conversations where conv_id is not null group by conv_id), "
+    f"h as (select conv_id, t, {_CRC} % 4 as h from own), "
+    "built as (select a.conv_id, list_concat(case when b.t is null then [] else b.t[1:a.h::int] end, a.t[a.h::int + 1:]) as t from h a left join own b on b.conv_id = a.conv_id - a.conv_id % 20), "
+    "m as (select conv_id, len(t) as size, unnest(range(0, len(t) + 1)) as depth, t from built), "
+    "n as (select t[1:depth::int] as path, depth, min(conv_id) as conv_id, count(*) as n_convs, sha256(coalesce(string_agg(case when size = depth then conv_id::varchar end, ',' order by conv_id), '')) as ends_sha256 from m group by 1, 2), "
+    "k as (select path[1:len(path) - 1] as path, count(*) as n_children from n where depth > 0 group by 1), "
+    r"f as (select n.*, coalesce(n_children, 0) as n_children, case when depth = 0 then 0 else (n_convs - 1) * len(regexp_extract_all(path[-1].t, '[^\x20\x09-\x0D]+')) end as own from n left join k on k.path = n.path), "
+    "up as (select path[1:d::int] as path, count(*) filter (n_children = 0) as n_leaves, sum(own)::bigint as saved_tokens from (select *, unnest(range(0, depth + 1)) as d from f) group by 1), "
+    "o as (select f.*, n_leaves, saved_tokens, p.conv_id as parent_conv_id from f join up on up.path = f.path left join n p on f.depth > 0 and p.path = f.path[1:len(f.path) - 1]) "
+    "select conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 from o"
+)
+
+OP13 = (
+    r"with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents), "
+    r"w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p), n as (select lang, sum(len(w))::bigint as n from w group by lang), "
+    "s as (select lang, w, m, unnest(range(1, len(w) - m + 2)) as i from w, (select unnest(range(1, 6)) as m) where len(w) >= m), "
+    "f as (select lang, m, w[i:i + m - 1] as g, count(*) as a from s group by all having count(*) >= 100), "
+    "x as (select lang, unnest([g[2:], g[:-2]]) as g, a from f where m > 2), longer as (select lang, g, max(a) as a from x group by all), "
+    "c as (select f.* from f left join longer b on b.lang = f.lang and b.g = f.g where f.m > 1 and (b.a is null or b.a < f.a)), "
+    "k as (select *, unnest(range(1, m)) as k from c), "
+    "y as (select k.lang, k.g, k.a, l.a as l, r.a as r, n.n, k.k, (1000::hugeint * k.a * n.n // (l.a::hugeint * r.a))::bigint as score from k join n on n.lang = k.lang "
+    "join f l on l.lang = k.lang and l.g = k.g[:k.k] join f r on r.lang = k.lang and r.g = k.g[k.k + 1:]), "
+    "z as (select * from y qualify row_number() over (partition by lang, g order by score, k) = 1), "
+    "t as (select lang, row_number() over (partition by lang order by score desc, a desc, array_to_string(g, ' ')) as rank, array_to_string(g, ' ') as phrase, a, l, r, n, score from z) "
+    "select * from t where rank <= 2000"
+)
+
+SQL = {"op2_warc_revisits": OP2, "op3_exact_top_k": OP3, "op5_ngram_jaccard": OP5, "op7_raked_mix": mixing.ORACLE_SQL, "op8_backoff_scores": OP8, "op12_prefix_trie": OP12, "op13_phrase_collocations": OP13}
