@@ -61,7 +61,7 @@ OP12 = (
     "m as (select conv_id, len(t) as size, unnest(range(0, len(t) + 1)) as depth, t from built), "
     "n as (select t[1:depth::int] as path, depth, min(conv_id) as conv_id, count(*) as n_convs, sha256(coalesce(string_agg(case when size = depth then conv_id::varchar end, ',' order by conv_id), '')) as ends_sha256 from m group by 1, 2), "
     "k as (select path[1:len(path) - 1] as path, count(*) as n_children from n where depth > 0 group by 1), "
-    r"f as (select n.*, coalesce(n_children, 0) as n_children, case when depth = 0 then 0 else (n_convs - 1) * len(regexp_extract_all(path[-1].t, '[^\x20\x09-\x0D]+')) end as own from n left join k on k.path = n.path), "
+    r"f as (select n.*, coalesce(n_children, 0) as n_children, case when n.depth = 0 then 0 else (n.n_convs - 1) * len(regexp_extract_all(n.path[-1].t, '[^\x20\x09-\x0D]+')) end as own from n left join k on k.path = n.path), "
     "up as (select path[1:d::int] as path, count(*) filter (n_children = 0) as n_leaves, sum(own)::bigint as saved_tokens from (select *, unnest(range(0, depth + 1)) as d from f) group by 1), "
     "o as (select f.*, n_leaves, saved_tokens, p.conv_id as parent_conv_id from f join up on up.path = f.path left join n p on f.depth > 0 and p.path = f.path[1:len(f.path) - 1]) "
     "select conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 from o"
