@@ -41,7 +41,7 @@ TOP = 2000
 #: A filter has so many bits for each member, and at most ``FILTER_BITS`` (16 MB).
 BITS_EACH, FILTER_BITS = 16, 1 << 27
 #: Bytes of text taken at once, entries that a shard holds before it lists them, and words of an automaton.
-SLICE, HELD, AUTOMATON = 1 << 21, 1 << 21, 1 << 18
+SLICE, HELD, AUTOMATON = 1 << 19, 1 << 21, 1 << 16
 #: Candidates are ranked in so many parts of a language first.
 PARTS = 64
 
@@ -106,44 +106,41 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Shard]]:
             yield lang, Shard(lang, texts)
 
 
-def _rows(lang: str | None, phrases: list[bytes] | None, hashes: np.ndarray | None, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _rows(lang: str | None, phrases: pa.Array | None, hashes: np.ndarray | None, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     n, step = len(counts), 1 << 16
     for at in range(0, n, step):
         k = min(step, n - at)
-        texts = pa.array(phrases[at : at + k], pa.binary()).cast(pa.string()) if phrases is not None else pa.nulls(k, pa.string())
+        texts = phrases[at : at + k] if phrases is not None else pa.nulls(k, pa.string())
         own = pa.array(hashes[at : at + k].view(np.int64)) if hashes is not None else pa.nulls(k, pa.int64())
         langs = pa.array([lang] * k, pa.string())
         yield pa.RecordBatch.from_arrays([langs, texts, own, pa.array(counts[at : at + k].astype(np.int64))], names=["lang", "phrase", "hash", "n"])
 
 
 class _Listed:
-    """Phrases of one language with their counts, listed when many are held."""
+    """Phrases with their counts as arrays, listed when many are held."""
 
     def __init__(self) -> None:
-        self.held: dict[str, dict[int, list]] = {}
+        #: Per language the hashes, counts, lengths and texts of each slice.
+        self.held: dict[str, list[tuple[np.ndarray, np.ndarray, np.ndarray, bytes]]] = {}
         self.size = 0
 
     def add(self, lang: str, shard: Shard, first: np.ndarray, hashes: np.ndarray, words: int) -> Iterator[pa.RecordBatch]:
         distinct, at, counts = np.unique(hashes, return_index=True, return_counts=True)
-        own = self.held.setdefault(lang, {})
-        fresh = []
-        for i, (h, n) in enumerate(zip(distinct.tolist(), counts.tolist(), strict=True)):
-            if h in own:
-                own[h][0] += n
-            else:
-                own[h] = [n, None]
-                fresh.append(i)
-        texts = shard.phrases(first[at[fresh]], words) if fresh else []
-        for h, t in zip(distinct[fresh].tolist(), texts, strict=True):
-            own[h][1] = t
-        self.size += len(fresh)
+        texts = shard.phrases(first[at], words)
+        self.held.setdefault(lang, []).append((distinct, counts, np.fromiter(map(len, texts), np.int64, len(texts)), b"".join(texts)))
+        self.size += len(distinct)
         if self.size >= HELD // 4:
             yield from self.listed()
 
     def listed(self) -> Iterator[pa.RecordBatch]:
-        for lang, own in self.held.items():
-            yield from _rows(lang, [v[1] for v in own.values()], np.array(list(own), U), np.array([v[0] for v in own.values()], np.int64))
-        self.held, self.size = {}, 0
+        for lang in list(self.held):
+            hashes, counts, lengths, texts = zip(*self.held.pop(lang), strict=True)
+            distinct, first, back = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+            offsets = np.zeros(len(back) + 1, np.int32)
+            np.cumsum(np.concatenate(lengths), out=offsets[1:])
+            every = pa.Array.from_buffers(pa.binary(), len(back), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(texts))])
+            yield from _rows(lang, every.take(pa.array(first)).cast(pa.string()), distinct, np.bincount(back, np.concatenate(counts)).astype(np.int64))
+        self.size = 0
 
 
 class _Hashed:
@@ -304,9 +301,9 @@ def _substrings(words: np.ndarray, pairs: np.ndarray, triples: np.ndarray, most:
                 phrases.append(b" ".join([names[i] for i in letters]))
                 counts.append(n)
                 if len(counts) == 1 << 16:
-                    yield from _rows(lang, phrases, None, np.array(counts))
+                    yield from _rows(lang, pa.array(phrases, pa.binary()).cast(pa.string()), None, np.array(counts))
                     phrases, counts = [], []
-            yield from _rows(lang, phrases, None, np.array(counts, np.int64))
+            yield from _rows(lang, pa.array(phrases, pa.binary()).cast(pa.string()), None, np.array(counts, np.int64))
 
         for lang, shard in _shards(batches):
             if len(shard.hashes) < 3:
