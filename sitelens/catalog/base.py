@@ -114,3 +114,32 @@ ASSETS_SQL = (
     "select c_custkey as feature_id, (600000 + (c_custkey * 15731) % 20000)::double as fx, (750000 + (c_custkey * 48611) % 20000)::double as fy, c_mktsegment as asset_class, "
     "case when c_custkey % 7 = 0 then 'unknown' else (c_custkey % 12 * 10)::varchar || ' kV' end as kv from customer"
 )
+
+
+def faulty_zones(part: DataFrame) -> DataFrame:
+    """Zones of which five in six are faulty by their id: a bow-tie, overlapping parts, a part outside, a spike, a line; some are empty."""
+    from sitelens.functions import geo
+
+    at = lambda a, b: geo.point(F.col("zx") + F.col("half") * a, F.col("zy") + F.col("half") * b)
+    ring = lambda *spots: F.array(*[at(a, b) for a, b in [*spots, spots[0]]])
+    square = ring((-1, -1), (1, -1), (1, 1), (-1, 1))
+    shapes = [
+        F.array(square),
+        F.array(ring((-1, -1), (1, 1), (1, -1), (-1, 1))),
+        F.array(square, ring((0, 0), (2, 0), (2, 2), (0, 2))),
+        F.array(square, ring((2.5, -0.5), (3.5, -0.5), (3.5, 0.5), (2.5, 0.5))),
+        F.array(ring((-1, -1), (1, -1), (1, 0), (3, 0), (1, 0), (1, 1), (-1, 1))),
+        F.array(ring((-1, -1), (1, 1), (0, 0))),
+    ]
+    k = F.col("feature_id")
+    rings = F.when(k % 35 == 34, F.array().cast("array<array<struct<x:double,y:double>>>"))
+    for i, shape in enumerate(shapes):
+        rings = rings.when(k % 6 == i, shape)
+    return zone_centres(part).withColumn("rings", rings).select("feature_id", "zone_type", "rings")
+
+
+#: Squares of half side h cover 4 h h; the shapes' areas follow from theirs.
+FAULTY_SQL = (
+    f"select feature_id, zone_type, half, case when feature_id % 35 = 34 then 'EMPTY' else ['VALID', 'REPAIRED', 'REPAIRED', 'VALID', 'REPAIRED', 'UNUSABLE'][feature_id % 6 + 1] end as geometry_state, "
+    f"[4, 2, 6, 5, 4, null][feature_id % 6 + 1] * half * half as area, [1, 2, 2, 2, 1, null][feature_id % 6 + 1] as parts from ({ZONES_SQL})"
+)

@@ -108,36 +108,40 @@ def _fact_sql() -> str:
 
 
 def compared_runs(spark, d):
-    """Two runs a supplier: findings 0 to k % 3 before and 1 to k % 4 + 1 after; a status turns where (k + number) is a multiple of 3."""
+    """Two runs a supplier: findings 0 to k % 3 before and 1 to k % 4 + 1 after; a status turns where (k + number) is a multiple of 3, and a
+    number is written 50 before and 50.0 after for every fifth supplier."""
     k, none = F.col("s_suppkey"), F.lit(None).cast("string")
 
-    def result(first: int, last, turned: str):
+    def result(first: int, last, turned: str, after: str):
         finding = lambda n: F.struct(
             F.concat(F.lit("f"), n.cast("string")).alias("finding_id"),
             F.element_at(F.array(*[F.lit(x) for x in ("GRID", "WATER", "PLANNING")]), (n % 3).cast("int") + 1).alias("domain"),
             F.when((k + n) % 3 == 0, turned).otherwise("CLEAR").alias("status"),
             F.array(F.concat(F.lit("e"), (n % 2).cast("string"))).alias("evidence_ids"),
+            F.when(k % 5 == 0, after).otherwise("50").alias("power"),
         )
-        return F.to_json(F.struct(F.struct(F.transform(F.sequence(F.lit(first).cast("long"), last), finding).alias("findings")).alias("assessment_result"), none.alias("run_note")))
+        made = F.to_json(F.struct(F.struct(F.transform(F.sequence(F.lit(first).cast("long"), last), finding).alias("findings")).alias("assessment_result"), none.alias("run_note")))
+        return F.regexp_replace(made, '"power":"([^"]*)"', '"power":$1')
 
     pairs = table(spark, d, "supplier").select(
         k.alias("pair_id"),
         F.to_json(F.struct(F.lit(5).alias("planned_power_mw"), (k % 2).alias("phase"))).alias("baseline_context"),
-        result(0, k % 3, "UNKNOWN").alias("baseline_result"),
+        result(0, k % 3, "UNKNOWN", "50").alias("baseline_result"),
         F.to_json(F.struct(F.lit(5).alias("planned_power_mw"), (k % 4).alias("phase"))).alias("comparison_context"),
-        result(1, k % 4 + 1, "CONSTRAINED").alias("comparison_result"),
+        result(1, k % 4 + 1, "CONSTRAINED", "50.0").alias("comparison_result"),
     )
     return snapshots.comparison(pairs)["items"]
 
 
 _COMPARED = (
     "with b as (select s_suppkey as k, unnest(range(0, s_suppkey % 3 + 1)) as n from supplier), c as (select s_suppkey as k, unnest(range(1, s_suppkey % 4 + 2)) as n from supplier), "
-    "f as (select coalesce(b.k, c.k) as k, 'f' || coalesce(b.n, c.n) as identity, case when b.k is null then 'added' when c.k is null then 'removed' when (b.k + b.n) % 3 = 0 then 'changed' else 'unchanged' end as change_kind "
+    "f as (select coalesce(b.k, c.k) as k, 'f' || coalesce(b.n, c.n) as identity, case when b.k is null then 'added' when c.k is null then 'removed' when (b.k + b.n) % 3 = 0 or b.k % 5 = 0 then 'changed' else 'unchanged' end as change_kind, "
+    "concat_ws(',', case when b.k % 5 = 0 then 'power' end, case when (b.k + b.n) % 3 = 0 then 'status' end) as changes "
     "from b full join c on b.k = c.k and b.n = c.n), "
     "eb as (select distinct k, 'e' || n % 2 as identity from b), ec as (select distinct k, 'e' || n % 2 as identity from c), "
     "e as (select coalesce(eb.k, ec.k) as k, coalesce(eb.identity, ec.identity) as identity, case when eb.k is null then 'added' when ec.k is null then 'removed' else 'unchanged' end as change_kind "
     "from eb full join ec on eb.k = ec.k and eb.identity = ec.identity) "
-    "select k as pair_id, 'findings' as section, identity, change_kind, case when change_kind = 'changed' then 'status' else '' end as changed_fields from f "
+    "select k as pair_id, 'findings' as section, identity, change_kind, case when change_kind = 'changed' then changes else '' end as changed_fields from f "
     "union all select k, 'evidence', identity, change_kind, '' from e"
 )
 

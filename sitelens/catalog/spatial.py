@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelens.catalog.base import APPLICATIONS_SQL, ASSETS_SQL, SITES_SQL, ZONES_SQL, applications, assets, sites, table, zones
+from sitelens.catalog.base import APPLICATIONS_SQL, ASSETS_SQL, FAULTY_SQL, SITES_SQL, ZONES_SQL, applications, assets, faulty_zones, sites, table, zones
 from sitelens.functions import geo
 from sitelens.functions.constants import GRID_TOP_K, PLANNING_TOP_K, SITE_RADII_M
-from sitelens.operators import layers, site_evidence, spatial
+from sitelens.operators import layers, repair, site_evidence, spatial
 
 
 def _sites(spark: SparkSession, d: str) -> DataFrame:
@@ -103,6 +103,16 @@ def layer_quality(spark, d):
     return layers.quality(_zones(spark, d), "zone_type")
 
 
+def polygon_repair(spark, d):
+    mended = repair.repaired(faulty_zones(table(spark, d, "part")), "feature_id")
+    usable = F.col("geometry_state").isin("VALID", "REPAIRED")
+    return mended.select("feature_id", "geometry_state", F.when(usable, F.size("rings")).alias("parts"), F.when(usable, F.round(geo.area(F.col("rings")), 3)).alias("area"))
+
+
+def repair_record(spark, d):
+    return repair.repair_quality(repair.repaired(faulty_zones(table(spark, d, "part")), "feature_id"), "zone_type", "feature_id")
+
+
 def site_ledger(spark, d):
     s = _sites(spark, d)
     return site_evidence.ledger(s, _zones(spark, d), _applications(spark, d), _assets(spark, d))
@@ -131,6 +141,8 @@ QUERIES = {
     "q29_nearest_hidden_when_hit": nearest_hidden_when_hit,
     "q30_layer_quality": layer_quality,
     "q31_site_ledger": site_ledger,
+    "q75_polygon_repair": polygon_repair,
+    "q76_repair_record": repair_record,
 }
 
 SQL = {
@@ -150,4 +162,13 @@ SQL = {
     "q30_layer_quality": f"with z as ({ZONES_SQL}) select zone_type as layer, count(*) as features, 0::bigint as empty, 0::bigint as invalid, 'Polygon' as types, "
     "min(zx - half) as xmin, min(zy - half) as ymin, max(zx + half) as xmax, max(zy + half) as ymax from z group by zone_type",
     "q31_site_ledger": _LEDGER_SQL,
+    "q75_polygon_repair": f"with z as ({FAULTY_SQL}) select feature_id, geometry_state, case when geometry_state in ('VALID', 'REPAIRED') then parts end::int as parts, "
+    "case when geometry_state in ('VALID', 'REPAIRED') then round(area::double, 3) end as area from z",
+    "q76_repair_record": f"with z as (select *, geometry_state in ('VALID', 'REPAIRED') as usable from ({FAULTY_SQL})) select zone_type as layer, count(*) as feature_count, "
+    "count(*) filter (geometry_state = 'EMPTY') as empty_geometry_count_before, count(*) filter (geometry_state in ('REPAIRED', 'UNUSABLE')) as invalid_geometry_count_before, "
+    "bool_or(geometry_state in ('REPAIRED', 'UNUSABLE')) as repair_attempted, count(*) filter (geometry_state = 'REPAIRED') as repaired_geometry_count, "
+    "count(*) filter (not usable) as unusable_after_repair_count, 0::bigint as invalid_geometry_count_after_repair, count(*) filter (geometry_state = 'EMPTY') as empty_geometry_count_after_repair, "
+    "count(*) filter (geometry_state = 'REPAIRED' and feature_id % 6 = 4) as geometry_collection_repair_count, 0::bigint as buffer_zero_fallback_count, "
+    "concat_ws(', ', case when bool_or(usable and parts > 1) and bool_or(usable and parts = 1) then 'MultiPolygon, Polygon' when bool_or(usable and parts > 1) then 'MultiPolygon' when bool_or(usable) then 'Polygon' end) as output_geometry_type_after_repair, "
+    "count(*) filter (usable) as output_feature_count_after_repair, count(*) filter (not usable) as dropped_unusable_feature_count from z group by zone_type",
 }

@@ -104,6 +104,23 @@ def outer_rings(rings: Column) -> Column:
     return F.size(F.filter(F.transform(rings, depth), lambda n: n % 2 == 0))
 
 
+def area(rings: Column) -> Column:
+    """Area inside an odd number of the rings, which may touch but do not cross."""
+
+    def twice(r: Column) -> Column:
+        crossed = F.transform(F.sequence(F.lit(1), F.size(r) - 1), lambda i: F.element_at(r, i)["x"] * F.element_at(r, i + 1)["y"] - F.element_at(r, i + 1)["x"] * F.element_at(r, i)["y"])
+        return F.abs(F.aggregate(crossed, F.lit(0.0), lambda s, v: s + v))
+
+    def depth(r: Column, i: Column) -> Column:
+        # The middle of an edge, as rings may touch in their corners.
+        a, b = F.element_at(r, 1), F.element_at(r, 2)
+        around = F.filter(rings, lambda o, j: (j != i) & covers(F.array(o), (a["x"] + b["x"]) / 2, (a["y"] + b["y"]) / 2))
+        return F.size(around)
+
+    signed = F.transform(rings, lambda r, i: F.when(depth(r, i) % 2 == 0, twice(r)).otherwise(-twice(r)))
+    return F.aggregate(signed, F.lit(0.0), lambda s, v: s + v) / 2
+
+
 def segment_distance(rings: Column, x: Column, y: Column) -> Column:
     """Least distance from the point to any segment; null for an empty geometry."""
 

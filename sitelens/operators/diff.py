@@ -2,38 +2,64 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
 from sitelens.functions import rules
 
 
+def _canonical(value: object) -> str:
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
+def _loaded(text: str | None) -> object:
+    """A JSON text's value; integers and decimals stay apart. Null for what is no JSON."""
+    try:
+        return json.loads(text) if text is not None else None
+    except ValueError:
+        return None
+
+
+@F.pandas_udf(StringType())
+def canonical(items: pd.Series) -> pd.Series:
+    """JSON in canonical form: keys sorted, no blanks, ``50`` and ``50.0`` different and ``5e1`` the same as ``50.0``."""
+    return items.map(lambda t: None if t is None or (v := _loaded(t)) is None and t.strip() != "null" else _canonical(v))
+
+
+@F.pandas_udf(MapType(StringType(), StringType()))
+def fields(items: pd.Series) -> pd.Series:
+    """The fields of a JSON object, each in canonical form; none for other values."""
+    return items.map(lambda t: {k: _canonical(v) for k, v in found.items()} if isinstance(found := _loaded(t), dict) else {})
+
+
+def _leaves(value: object, path: str) -> Iterator[dict]:
+    if isinstance(value, dict) and value:
+        for key, child in value.items():
+            yield from _leaves(child, f"{path}.{key}" if path else key)
+    elif path:
+        yield {"path": path, "value": _canonical(value)}
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("path", StringType()), StructField("value", StringType())])))
+def _all_leaves(items: pd.Series) -> pd.Series:
+    return items.map(lambda t: list(_leaves(_loaded(t), "")))
+
+
 def flatten_paths(rows: DataFrame, json_col: str, *keep: str, skip: Sequence[str] = ()) -> DataFrame:
     """``path, value`` of each leaf of a JSON object; nested keys join by dots; lists and empty objects are leaves.
 
-    ``value`` is the leaf's JSON text, so ``"50"`` and ``50`` differ and a string that looks like an object stays a
-    string. Keys of the top level in ``skip`` are left out. Objects unfold level by level until none is left; each level is one
-    generator, and the loop ends with the deepest object of the data.
+    ``value`` is the leaf in canonical form, so ``"50"``, ``50`` and ``50.0`` differ and a string that looks like an object stays a
+    string. Keys of the top level in ``skip`` are left out. Each text is read once, whatever its depth; one that is null or no JSON has no leaves.
     """
-    spark = rows.sparkSession
-    level = rows.select(*keep, F.lit("").alias("path"), F.parse_json(json_col).alias("value")).where(F.col("value").isNotNull())
-    done, top = None, True
-    while True:
-        kind = F.schema_of_variant("value")
-        is_object = F.startswith(kind, F.lit("OBJECT<")) & (kind != "OBJECT<>")
-        leaf = level.where(~is_object & (F.col("path") != "")).select(*keep, "path", F.to_json("value").alias("value"))
-        done = leaf if done is None else done.unionByName(leaf)
-        objects = level.where(is_object)
-        if objects.isEmpty():
-            return done
-        inner = objects.lateralJoin(spark.tvf.variant_explode(F.col("value").outer()).select(F.col("key").alias("_key"), F.col("value").alias("_child")))
-        level = inner.select(*keep, F.concat_ws(".", F.nullif("path", F.lit("")), "_key").alias("path"), F.col("_child").alias("value"))
-        if top and skip:
-            level = level.where(~F.col("path").isin(*skip))
-        top = False
+    leaves = rows.select(*keep, F.explode(_all_leaves(F.col(json_col))).alias("_leaf")).select(*keep, "_leaf.path", "_leaf.value")
+    if not skip:
+        return leaves
+    return leaves.where(~F.substring_index("path", ".", 1).isin(*skip))
 
 
 def input_changes(before: DataFrame, after: DataFrame, *keys: str) -> DataFrame:

@@ -57,8 +57,7 @@ def quality(layer: DataFrame, by: str, rings: str = "rings") -> DataFrame:
 def usable(layer: DataFrame, rings: str = "rings") -> DataFrame:
     """Adds ``geometry_state`` (VALID, EMPTY or INVALID); only valid features take part in site queries.
 
-    Rings that are not closed are closed first. Rebuilding self-crossing polygons needs a geometry library and is
-    left to ``repair_with``.
+    Rings that are not closed are closed first. Invalid polygons are rebuilt by ``repair.repaired``.
     """
     shut = F.transform(rings, lambda r: F.when((F.size(r) >= 3) & (F.element_at(r, 1) != F.element_at(r, -1)), F.concat(r, F.array(F.element_at(r, 1)))).otherwise(r))
     closed = layer.withColumn(rings, F.when(F.size(rings) > 0, shut).otherwise(F.col(rings)))
@@ -66,11 +65,6 @@ def usable(layer: DataFrame, rings: str = "rings") -> DataFrame:
     return closed.withColumn("geometry_state", state)
 
 
-def repair_with(layer: DataFrame, repair, schema: str) -> DataFrame:
-    """Runs a batch function (pandas frames in and out) that wraps a geometry library, where one is installed."""
-    return layer.mapInPandas(repair, schema)
-
-
 def to_itm_layer(layer: DataFrame, rings: str = "rings") -> DataFrame:
     """Vertices from WGS84 degrees (x longitude, y latitude) to Irish transverse Mercator metres."""
 

@@ -1,14 +1,17 @@
 """Whole comparison of stored runs: items of each section with fallbacks, identities, labels, inputs and counters.
 
-A run's result is one JSON text; items stay raw JSON, so any field a run stored takes part. Many run pairs are compared in one plan.
+A run's result is one JSON text, read once; items stay JSON in canonical form, so any field a run stored takes part. Many run
+pairs are compared in one plan.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from sitelens.functions import constants as K
 from sitelens.operators import diff
@@ -36,13 +39,43 @@ SECTIONS = (
 PLAIN_UNKNOWNS = Section("unknowns", ("$.assessment_result.material_unknowns",), "unknown_id", "unknown", ("value", "title", "summary"))
 #: Lists whose items carry evidence ids besides the bundle's records.
 EVIDENCE_HOLDERS = ("$.assessment_result.findings", "$.explanation_result.material_unknown_themes", "$.explanation_result.next_action_plan", "$.human_reviews")
+PLAIN = "plain unknowns"
+CITATIONS = ("$.explanation_result.customer_facing_citations", "$.explanation_result.source_citations")
 EVIDENCE_FIELDS = ("source_document_id", "source_path", "domain", "document_status")
 
 
-def items_at(result: Column, path: str) -> Column:
-    """The elements of a JSON list as raw JSON text; none where there is no list. Plain values become ``{"value": ...}``."""
-    found = F.coalesce(F.try_variant_get(F.try_parse_json(result), path, "array<variant>"), F.array().cast("array<variant>"))
-    return F.transform(found, lambda v: F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.to_json(v)).otherwise(F.concat(F.lit('{"value":'), F.to_json(v), F.lit("}"))))
+#: Rows of a result that are no section's items: the bundle's records, and ids of evidence that other items name.
+RECORD, NAMED = "#record", "#evidence"
+_ITEMS = ArrayType(StructType([StructField("section", StringType()), StructField("pos", IntegerType()), StructField("item", StringType())]))
+
+
+def _list_at(result: object, place: str) -> list:
+    for key in place.removeprefix("$.").split("."):
+        result = result.get(key) if isinstance(result, dict) else None
+    return result if isinstance(result, list) else []
+
+
+def _items_of(text: str | None) -> list[dict]:
+    """All that a run's result holds for a comparison, in one reading."""
+    result = diff._loaded(text)
+    themes = bool(_list_at(result, SECTIONS[1].places[0]))
+    lists = [(s.name if s is not PLAIN_UNKNOWNS else PLAIN, s.places) for s in (*SECTIONS, *([] if themes else [PLAIN_UNKNOWNS]))]
+    lists += [("citations", CITATIONS), (RECORD, ("$.evidence_bundle.records",))]
+    out = []
+    for section, places in lists:
+        found = next((x for p in places if (x := _list_at(result, p))), [])
+        # Plain values become objects of one field.
+        out += [{"section": section, "pos": i, "item": diff._canonical(v if isinstance(v, dict) else {"value": v})} for i, v in enumerate(found)]
+    for place in EVIDENCE_HOLDERS:
+        for holder in _list_at(result, place):
+            ids = holder.get("evidence_ids") if isinstance(holder, dict) else None
+            out += [{"section": NAMED, "pos": 0, "item": i} for i in (ids if isinstance(ids, list) else []) if isinstance(i, str) and i]
+    return out
+
+
+@F.pandas_udf(_ITEMS)
+def result_items(results: pd.Series) -> pd.Series:
+    return results.map(_items_of)
 
 
 def field(item: Column, name: str) -> Column:
@@ -50,86 +83,51 @@ def field(item: Column, name: str) -> Column:
     return F.nullif(F.trim(F.get_json_object(item, f"$.{name}")), F.lit(""))
 
 
-def first_list(result: Column, places: tuple[str, ...]) -> Column:
-    """The first place's list that is not empty."""
-    out = items_at(result, places[-1])
-    for path in reversed(places[:-1]):
-        own = items_at(result, path)
-        out = F.when(F.size(own) > 0, own).otherwise(out)
-    return out
-
-
 def text_key(text: Column) -> Column:
     """Identity of an item without an id: a digest of its caseless text."""
     clean = F.lower(F.trim(text))
     return F.when(F.coalesce(clean, F.lit("")) != "", F.concat(F.lit("text:"), F.substring(F.sha2(clean, 256), 1, 16)))
 
 
-def section_items(runs: DataFrame, section: Section, result: str = "result", *, where: Column | None = None) -> DataFrame:
-    """``run_id, section, identity, matchable, item``; of repeated identities the last counts."""
-    rows = runs if where is None else runs.where(where)
-    each = rows.select("run_id", F.posexplode(first_list(F.col(result), section.places)).alias("pos", "item"))
-    stable = field(F.col("item"), section.id_key)
-    fallback = text_key(F.coalesce(*[field(F.col("item"), t) for t in section.texts])) if section.texts else F.lit(None).cast("string")
-    named = each.withColumn("identity", F.coalesce(stable, fallback, F.concat(F.lit(f"{section.prefix}-unmatched-"), F.col("pos").cast("string"))))
-    named = named.withColumn("matchable", F.coalesce(stable, fallback).isNotNull())
-    last = named.groupBy("run_id", "identity").agg(F.max_by(F.struct("matchable", "item"), "pos").alias("x"))
-    return last.select("run_id", F.lit(section.name).alias("section"), "identity", "x.matchable", "x.item")
-
-
-def evidence_items(runs: DataFrame, result: str = "result") -> DataFrame:
-    """Every evidence id that a run's bundle, findings, themes, actions or reviews name, with what the bundle's record says."""
-    records = runs.select("run_id", F.posexplode(items_at(F.col(result), "$.evidence_bundle.records")).alias("pos", "r"))
-    known = records.select("run_id", "pos", field(F.col("r"), "evidence_id").alias("identity"), *[F.get_json_object("r", f"$.{f}").alias(f) for f in EVIDENCE_FIELDS]).where("identity is not null")
-    bundle = known.groupBy("run_id", "identity").agg(F.max_by(F.struct(*EVIDENCE_FIELDS), "pos").alias("x"))
-    ids = None
-    for path in EVIDENCE_HOLDERS:
-        held = runs.select("run_id", F.explode(items_at(F.col(result), path)).alias("i"))
-        own = held.select("run_id", F.explode(F.from_json(F.get_json_object("i", "$.evidence_ids"), "array<string>")).alias("identity")).where("identity <> ''")
-        ids = own if ids is None else ids.union(own)
-    every = ids.union(bundle.select("run_id", "identity")).distinct().join(bundle, ["run_id", "identity"], "left")
-    item = F.to_json(F.struct(F.col("identity").alias("evidence_id"), *[F.col(f"x.{f}").alias(f) for f in EVIDENCE_FIELDS]))
-    return every.select("run_id", F.lit("evidence").alias("section"), "identity", F.lit(True).alias("matchable"), item.alias("item"))
-
-
-def citation_items(runs: DataFrame, result: str = "result") -> DataFrame:
-    """Customer citations, else source citations, by document id, else by path and locator."""
-    listed = first_list(F.col(result), ("$.explanation_result.customer_facing_citations", "$.explanation_result.source_citations"))
-    each = runs.select("run_id", F.posexplode(listed).alias("pos", "item"))
-    document, path, locator = (field(F.col("item"), f) for f in ("document_id", "source_path", "locator"))
-    shown = lambda c: F.coalesce(c, F.lit("None"))
-    named = each.withColumns({"identity": F.coalesce(document, text_key(F.concat(shown(path), F.lit("|"), shown(locator)))), "matchable": F.coalesce(document, path, locator).isNotNull()})
-    last = named.groupBy("run_id", "identity").agg(F.max_by(F.struct("matchable", "item"), "pos").alias("x"))
-    return last.select("run_id", F.lit("citations").alias("section"), "identity", "x.matchable", "x.item")
-
-
-def all_items(runs: DataFrame, result: str = "result") -> DataFrame:
-    """Items of all seven sections of ``runs(run_id, result)``."""
-    themes = F.size(items_at(F.col(result), "$.explanation_result.material_unknown_themes")) > 0
-    out = section_items(runs, PLAIN_UNKNOWNS, result, where=~themes)
-    for section in SECTIONS:
-        out = out.union(section_items(runs, section, result))
-    return out.union(evidence_items(runs, result)).union(citation_items(runs, result))
-
-
-def canonical(item: Column) -> Column:
-    """Items compare as variants: keys in any order, numbers by value and kind."""
-    return F.to_json(F.parse_json(item))
+def all_items(runs: DataFrame, *keys: str, result: str = "result") -> DataFrame:
+    """``keys, section, identity, matchable, item`` of all seven sections of ``runs``; of repeated identities the last counts.
 
-
-def compared_items(before: DataFrame, after: DataFrame, pair: str = "pair_id") -> DataFrame:
-    """``pair, section, identity, change_kind, changed_fields`` of items of two sides (full outer join by identity)."""
-    on = [pair, "section", "identity"]
-    a = before.select(*on, F.col("item").alias("a"))
-    b = after.select(*on, F.col("item").alias("b"))
-    as_map = lambda c: F.coalesce(F.from_json(canonical(F.col(c)), "map<string,string>"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
-    joined = a.join(b, on, "full").withColumns({"ma": as_map("a"), "mb": as_map("b")})
+    Items are known by their id, else by their text, else by their place; citations by document, else by path and locator. Evidence is
+    every id that a run's bundle, findings, themes, actions or reviews name, with what the bundle's record says.
+    """
+    rows = runs.select(*keys, F.explode(result_items(F.col(result))).alias("_i")).select(*keys, "_i.*")
+    item, section = F.col("item"), F.col("section")
+    named, prefix = F.when(section == NAMED, item).when(section == RECORD, field(item, "evidence_id")), F.lit("item")
+    document, path, locator = (field(item, f) for f in ("document_id", "source_path", "locator"))
+    shown = lambda c: F.coalesce(c, F.lit("None"))
+    named = named.when(section == "citations", F.coalesce(document, F.when(F.coalesce(path, locator).isNotNull(), text_key(F.concat(shown(path), F.lit("|"), shown(locator))))))
+    for s in (*SECTIONS, PLAIN_UNKNOWNS):
+        own = section == (PLAIN if s is PLAIN_UNKNOWNS else s.name)
+        text = text_key(F.coalesce(*[field(item, t) for t in s.texts])) if s.texts else F.lit(None).cast("string")
+        named, prefix = named.when(own, F.coalesce(field(item, s.id_key), text)), F.when(own, s.prefix).otherwise(prefix)
+    nameless = F.when(section == "citations", text_key(F.lit("None|None"))).otherwise(F.concat(prefix, F.lit("-unmatched-"), F.col("pos").cast("string")))
+    known = rows.withColumn("named", named).withColumn("identity", F.coalesce("named", nameless))
+    evidence = section.isin(RECORD, NAMED)
+    known = known.where(~evidence | F.col("named").isNotNull()).withColumn("section", F.when(evidence, "evidence").when(section == PLAIN, "unknowns").otherwise(section))
+    # A record says more of its id than those that only name it.
+    rank = F.struct((F.col("item") != F.col("identity")).alias("record"), "pos")
+    last = known.groupBy(*keys, "section", "identity").agg(F.max_by(F.struct(F.col("named").isNotNull().alias("matchable"), "item"), rank).alias("x"))
+    told = F.when(F.col("x.item") == F.col("identity"), F.lit("{}")).otherwise(F.col("x.item"))
+    record = F.to_json(F.struct(F.col("identity").alias("evidence_id"), *[F.get_json_object(told, f"$.{f}").alias(f) for f in EVIDENCE_FIELDS]))
+    return last.select(*keys, "section", "identity", "x.matchable", F.when(F.col("section") == "evidence", record).otherwise(F.col("x.item")).alias("item"))
+
+
+def compared_items(items: DataFrame, pair: str = "pair_id", side: str = "side") -> DataFrame:
+    """``pair, section, identity, change_kind, changed_fields`` of the items of sides ``a`` and ``b``; both meet by their identity."""
+    of = lambda s: F.max(F.when(F.col(side) == s, F.col("item"))).alias(s)
+    joined = items.groupBy(pair, "section", "identity").agg(of("a"), of("b"))
+    joined = joined.withColumns({"ma": diff.fields(F.col("a")), "mb": diff.fields(F.col("b"))})
     keys = F.array_sort(F.array_union(F.map_keys("ma"), F.map_keys("mb")))
     differ = F.filter(keys, lambda k: ~F.try_element_at("ma", k).eqNullSafe(F.try_element_at("mb", k)))
     both = F.col("a").isNotNull() & F.col("b").isNotNull()
     changed = F.when(both, differ).otherwise(F.array().cast("array<string>"))
     kind = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.size(changed) > 0, "changed").otherwise("unchanged")
-    return joined.select(*on, kind.alias("change_kind"), F.array_join(changed, ",").alias("changed_fields"))
+    return joined.select(pair, "section", "identity", kind.alias("change_kind"), F.array_join(changed, ",").alias("changed_fields"))
 
 
 def input_label(path: Column) -> Column:
@@ -203,13 +201,9 @@ def comparison(pairs: DataFrame, pair: str = "pair_id") -> dict[str, DataFrame]:
     ``pairs(pair_id, baseline_context, baseline_result, comparison_context, comparison_result)`` hold JSON. Returns ``items``,
     ``inputs``, ``domains`` and ``summary``.
     """
-    sides = []
-    for side in ("baseline", "comparison"):
-        runs = pairs.select(F.col(pair).alias("run_id"), F.col(f"{side}_result").alias("result"))
-        found = all_items(runs).withColumnRenamed("run_id", pair)
-        states = found.where("section = 'findings'").select(pair, F.coalesce(field(F.col("item"), "domain"), F.lit("UNKNOWN")).alias("domain"), F.coalesce(field(F.col("item"), "status"), F.lit("UNKNOWN")).alias("status"))
-        sides.append((found, diff.group_states(states, pair), pairs.select(pair, F.col(f"{side}_context").alias("context"))))
-    (a, a_states, a_context), (b, b_states, b_context) = sides
-    items, inputs = compared_items(a, b, pair), input_diff(a_context, b_context, pair)
-    domains = diff.domain_transitions(a_states, b_states, pair)
+    side = lambda s, name: pairs.select(pair, F.lit(s).alias("side"), F.col(f"{name}_context").alias("context"), F.col(f"{name}_result").alias("result"))
+    found = all_items(side("a", "baseline").union(side("b", "comparison")), pair, "side")
+    findings = found.where("section = 'findings'").select(pair, "side", F.coalesce(field(F.col("item"), "domain"), F.lit("UNKNOWN")).alias("domain"), F.coalesce(field(F.col("item"), "status"), F.lit("UNKNOWN")).alias("status"))
+    items, inputs = compared_items(found, pair), input_diff(side("a", "baseline"), side("b", "comparison"), pair)
+    domains = diff.domain_transitions(*[diff.group_states(findings.where(F.col("side") == s), pair) for s in "ab"], pair)
     return {"items": items, "inputs": inputs, "domains": domains, "summary": summary(pairs, items, inputs, domains, pair)}

@@ -6,6 +6,7 @@ own cell, and the exact test decides. Results are exact; no pair outside a cell
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -75,20 +76,35 @@ def nearest_k(pairs: DataFrame, k: int, order: str = "feature_id") -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("site_id").orderBy("distance", order))).where(F.col("rank") <= k)
 
 
-def k_within(sites: DataFrame, points: DataFrame, radius: float, k: int, order: str = "feature_id", steps: int = 4) -> DataFrame:
+#: Halvings of the radius in the search for the k nearest.
+HALVINGS = 6
+
+
+def k_within(sites: DataFrame, points: DataFrame, radius: float, k: int, order: str = "feature_id") -> DataFrame:
     """The ``k`` nearest points within ``radius`` of each site, with ``distance`` and ``rank``.
 
-    Expanding search: a site whose k nearest lie within a small reach never meets the points beyond; the reach doubles, and
-    only sites with fewer answers go on. So pairs carried follow ``k``, not the points within ``radius``.
+    Points are counted in a pyramid of cells, the radius halved from level to level. The finest level at which the nine cells round a site
+    hold ``k`` points bounds how far away its k-th can be, and the site meets no points beyond that. One join finds the levels,
+    one the points, whatever the radius.
     """
-    left, out = sites, None
-    for step in range(steps, -1, -1):
-        found = nearest_k(within_radius(left, points, radius / 2**step), k, order)
-        if step:
-            full = found.groupBy("site_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= k).select("site_id")
-            found, left = found.join(full, "site_id", "left_semi"), left.join(full, "site_id", "left_anti")
-        out = found if out is None else out.unionByName(found)
-    return out
+    levels = [(n, radius / 2**n) for n in range(HALVINGS + 1)]
+    ladder = F.array(*[F.struct(F.lit(n).alias("level"), F.lit(size).alias("size")) for n, size in levels])
+    index = lambda c: F.floor(F.col(c) / F.col("size")).cast("long")
+    held = points.withColumnsRenamed({"x": "fx", "y": "fy"}).withColumn("_at", F.explode(ladder)).select("*", "_at.*").drop("_at").withColumns({"cx": index("fx"), "cy": index("fy")})
+    counts = held.groupBy("level", "cx", "cy").agg(F.count("*").alias("n"))
+    asked = sites.select("site_id", "x", "y", F.explode(ladder).alias("_at")).select("site_id", "x", "y", "_at.*")
+    around = asked.withColumn("cx", F.explode(F.sequence(index("x") - 1, index("x") + 1))).withColumn("cy", F.explode(F.sequence(index("y") - 1, index("y") + 1)))
+    enough = around.join(counts, ["level", "cx", "cy"]).groupBy("site_id", "level").agg(F.sum("n").alias("n")).where(F.col("n") >= k)
+    finest = enough.groupBy("site_id").agg(F.max("level").alias("level"))
+    size = F.lit(radius) / F.pow(F.lit(2.0), F.col("level"))
+    # Two cells a side away at most: the corner of the nine cells.
+    reach = F.least(F.lit(radius), F.lit(2 * math.sqrt(2)) * F.col("size"))
+    seeking = sites.join(finest, "site_id", "left").withColumn("level", F.coalesce("level", F.lit(0))).withColumn("size", size).withColumn("_reach", reach)
+    span = lambda c: F.sequence(F.floor((F.col(c) - F.col("_reach")) / F.col("size")).cast("long"), F.floor((F.col(c) + F.col("_reach")) / F.col("size")).cast("long"))
+    seeking = seeking.withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y"))).drop("size")
+    d = F.hypot(F.col("fx") - F.col("x"), F.col("fy") - F.col("y"))
+    pairs = held.drop("size").join(seeking, ["level", "cx", "cy"]).withColumn("distance", d).where(F.col("distance") <= F.col("_reach")).drop("level", "cx", "cy", "_reach")
+    return nearest_k(pairs, k, order)
 
 
 def _nearest_of(pairs: DataFrame) -> DataFrame:
@@ -102,25 +118,55 @@ def box_distance(x: Column, y: Column) -> Column:
     return F.hypot(F.greatest(F.col("xmin") - x, zero, x - F.col("xmax")), F.greatest(F.col("ymin") - y, zero, y - F.col("ymax")))
 
 
-#: Reaches of the nearest-feature search in metres; the last spans any two places.
-REACHES = (100.0, 1000.0, 5000.0, 25_000.0, 100_000.0, 500_000.0, 50_000_000.0)
+#: Levels of the cell pyramid of the nearest-feature search: the finest cells' width in metres and the growth a level; the
+#: coarsest cells span any two places.
+FINEST, GROWTH, LEVELS = 64.0, 4.0, 11
+
 
+def _width(level: Column) -> Column:
+    return F.lit(FINEST) * F.pow(F.lit(GROWTH), level)
 
-def nearest_polygon(sites: DataFrame, features: DataFrame, reaches: Sequence[float] = REACHES, measure=geo.polygon_distance) -> DataFrame:
-    """``site_id, feature_id, distance`` of the exact nearest feature (0 where a polygon covers the site).
 
-    Expanding search through grid cells as wide as the reach: features whose box is within the reach are measured, and a site
-    whose answer is within it is done; the others go on to the next reach. No site meets features beyond its reach.
+def _level(length: Column) -> Column:
+    """The finest level whose cells are as wide as ``length``."""
+    up = F.ceil(F.log(F.greatest(length, F.lit(FINEST)) / FINEST) / math.log(GROWTH)).cast("int")
+    # Logarithms of whole powers may fall short.
+    return F.least(F.lit(LEVELS - 1), F.when(_width(up) >= length, up).otherwise(up + 1))
+
+
+def nearest_polygon(sites: DataFrame, features: DataFrame, measure=geo.polygon_distance) -> DataFrame:
+    """``site_id, feature_id, distance`` of the exact nearest feature (0 where a polygon covers the site), ties to the least id.
+
+    One plan of three joins, however far the nearest is. A vertex of each feature stands in a pyramid of cells, one vertex a cell;
+    the finest level with any round a site gives a distance that the nearest cannot exceed. Features are listed by their centre's cell on the level of
+    their own width and on all coarser ones, so a site with its reach looks up few cells: those of its own level for all features no
+    wider, and those of each coarser level for the wider ones. Boxes within the reach are then measured.
     """
-    held, left, out = boxed(features), sites, None
-    x, y = F.col("x"), F.col("y")
-    for n, reach in enumerate(reaches):
-        near = site_cells(left, reach).join(in_cells(held, reach, reach), ["cx", "cy"]).where(box_distance(x, y) <= reach)
-        got = _nearest_of(near.withColumn("distance", measure(F.col("rings"), x, y)).where(F.col("distance") <= reach))
-        out = got if out is None else out.unionByName(got)
-        if n + 1 < len(reaches):
-            left = left.join(got.select("site_id"), "site_id", "left_anti")
-    return out
+    corner = F.element_at(F.flatten("rings"), 1)
+    held = boxed(features.where(F.size(F.flatten("rings")) > 0)).withColumns({"vx": corner["x"], "vy": corner["y"]})
+    own = _level(F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")))
+    slim = held.select("feature_id", "vx", "vy", "xmin", "ymin", "xmax", "ymax", own.alias("own"))
+    index = lambda c, level: F.floor(c / _width(level)).cast("long")
+    every = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("level")
+    spots = slim.select("vx", "vy", every).groupBy("level", index(F.col("vx"), F.col("level")).alias("cx"), index(F.col("vy"), F.col("level")).alias("cy")).agg(F.min(F.struct("vx", "vy")).alias("v"))
+    around = sites.select("site_id", "x", "y", every)
+    for cell, c in (("cx", F.col("x")), ("cy", F.col("y"))):
+        at = index(c, F.col("level"))
+        around = around.withColumn(cell, F.explode(F.sequence(at - 1, at + 1)))
+    away = F.hypot(F.col("v.vx") - F.col("x"), F.col("v.vy") - F.col("y"))
+    reach = around.join(spots, ["level", "cx", "cy"]).groupBy("site_id", "x", "y").agg(F.min(F.struct("level", away.alias("d"))).alias("r"))
+    reach = reach.select("site_id", "x", "y", F.col("r.d").alias("d"), _level(F.col("r.d")).alias("from"))
+    # Which lists a site reads: on its own level features of that width and narrower ones, on coarser levels those of that width.
+    lists = F.concat(F.transform(F.sequence(F.col("from"), F.lit(LEVELS - 1)), lambda m: F.struct(m.alias("level"), F.lit(True).alias("wide"))), F.array(F.struct(F.col("from").alias("level"), F.lit(False).alias("wide"))))
+    seeking = reach.withColumn("_l", F.explode(lists)).select("site_id", "x", "y", "d", "_l.*")
+    for cell, c in (("cx", F.col("x")), ("cy", F.col("y"))):
+        margin = F.col("d") + _width(F.col("level")) / 2
+        seeking = seeking.withColumn(cell, F.explode(F.sequence(index(c - margin, F.col("level")), index(c + margin, F.col("level")))))
+    listed = slim.withColumn("level", F.explode(F.sequence(F.col("own"), F.lit(LEVELS - 1)))).withColumn("wide", F.col("level") == F.col("own"))
+    listed = listed.withColumns({"cx": index((F.col("xmin") + F.col("xmax")) / 2, F.col("level")), "cy": index((F.col("ymin") + F.col("ymax")) / 2, F.col("level"))})
+    near = seeking.join(listed, ["level", "wide", "cx", "cy"]).where(box_distance(F.col("x"), F.col("y")) <= F.col("d")).select("site_id", "x", "y", "feature_id")
+    measured = near.join(held.select("feature_id", "rings"), "feature_id").withColumn("distance", measure(F.col("rings"), F.col("x"), F.col("y")))
+    return _nearest_of(measured)
 
 
 def leading_number(text: Column) -> Column:

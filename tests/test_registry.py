@@ -91,3 +91,36 @@ def test_bundle(spark):
     assert (a.evidence_id, a.source_name, a.fact, a.confidence, a.limitation, a.verification_status) == ("rag-r1", "CRU — Code", "text", "HIGH", None, "UNVERIFIED")
     assert (b.source_name, b.fact, b.source_reference, b.confidence, b.human_review_required) == ("d2", "Retrieved evidence from d2", "r2", "MEDIUM", True)
     assert b.limitation.startswith("Policy version is not current")
+
+
+def test_numbers_compare_as_written(spark):
+    """50 and 50.0 differ, 5e1 is 50.0, and the order of keys does not count."""
+    from sitelens.operators import diff
+
+    rows = spark.createDataFrame([("50",), ("50.0",), ("5e1",), ('"50"',), ('{"b": 1, "a": [1, 1.0]}',), ('{"a":[1,1.0],"b":1}',), ("{oops",), (None,), ("null",)], "t string")
+    got = [r.c for r in rows.select(diff.canonical(F.col("t")).alias("c")).collect()]
+    assert got == ["50", "50.0", "50.0", '"50"', '{"a":[1,1.0],"b":1}', '{"a":[1,1.0],"b":1}', None, None, "null"]
+    doc = spark.createDataFrame([(1, '{"p": 50.0, "n": {"x": {"y": null, "z": {}}, "w": []}, "s": "{}", "skip": {"a": 1}}'), (2, None), (3, "[1]")], "id int, doc string")
+    leaves = diff.flatten_paths(doc, "doc", "id", skip=("skip",))
+    assert sorted((r.id, r.path, r.value) for r in leaves.collect()) == [(1, "n.w", "[]"), (1, "n.x.y", "null"), (1, "n.x.z", "{}"), (1, "p", "50.0"), (1, "s", '"{}"')]
+    side = lambda power: json.dumps({"assessment_result": {"findings": [{"finding_id": "f", "power": power}]}})
+    pairs = spark.createDataFrame([("p", '{"planned_power_mw": 50}', side(50), '{"planned_power_mw": 50.0}', side(50.0))], "pair_id string, baseline_context string, baseline_result string, comparison_context string, comparison_result string")
+    found = snapshots.comparison(pairs)
+    assert [(r.change_kind, r.changed_fields) for r in found["items"].collect()] == [("changed", "power")]
+    assert [r.change_kind for r in found["inputs"].collect()] == ["changed"]
+
+
+def test_citations_and_plain_unknowns(spark):
+    result = {
+        "assessment_result": {"material_unknowns": [{"unknown_id": "u1"}, "free text"]},
+        "explanation_result": {"source_citations": [{"document_id": "d1"}, {"source_path": "/a", "locator": "p1"}, {"note": "nothing"}, {"document_id": "d1", "page": 2}], "next_actions": [{"title": " Ask "}]},
+        "evidence_bundle": {"records": [{"evidence_id": "e1", "domain": "GRID"}, {"evidence_id": " "}]},
+        "human_reviews": [{"review_id": "r1", "evidence_ids": ["e1", "e2", "", 7]}],
+    }
+    runs = spark.createDataFrame([("x", json.dumps(result)), ("y", None), ("z", "{oops")], "run_id string, result string")
+    got = {(r.section, r.identity): (r.matchable, json.loads(r.item)) for r in snapshots.all_items(runs, "run_id").collect()}
+    assert got["citations", "d1"] == (True, {"document_id": "d1", "page": 2}) and sum(s == "citations" for s, _ in got) == 3
+    assert [v[0] for (s, i), v in got.items() if s == "citations" and i != "d1"].count(False) == 1
+    assert got["unknowns", "u1"][0] and [v for (s, i), v in got.items() if s == "unknowns" and i != "u1"] == [(True, {"value": "free text"})]
+    assert got["evidence", "e1"][1] == {"evidence_id": "e1", "domain": "GRID"} and got["evidence", "e2"][1] == {"evidence_id": "e2"} and sum(s == "evidence" for s, _ in got) == 2
+    assert got["reviews", "r1"][0] and sum(s == "actions" for s, _ in got) == 1
