@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sitelens.functions import constants as K
 from sitelens.functions import text as T
+from sitelens.operators import containment
 
 
 def chunks(pages: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFrame:
@@ -71,13 +72,11 @@ def duplicate_relations(documents: DataFrame, id_col: str, digest: Column, exclu
 def flag_matches(records: DataFrame, flags: DataFrame) -> DataFrame:
     """``flag_id, record_id`` where the flag's source is among the record's or its claim is in the text.
 
-    The OR is split: an equi join on sources and a containment test against the claims, united and
-    made distinct. ``records(record_id, source_ids, text)``, ``flags(flag_id, source_id, original_claim)``;
-    flags are review notes, a short configuration table.
+    The OR is split: an equi join on sources and a join on the claims' anchors, united and made distinct. ``records(record_id,
+    source_ids, text)``, ``flags(flag_id, source_id, original_claim)``; both may be large.
     """
     by_source = records.select("record_id", F.explode("source_ids").alias("source_id")).join(flags.select("flag_id", "source_id"), "source_id").select("flag_id", "record_id")
-    claims = flags.where(F.col("original_claim").isNotNull() & (F.col("original_claim") != "")).select("flag_id", "original_claim")
-    by_claim = records.select("record_id", "text").join(F.broadcast(claims), F.contains(F.col("text"), F.col("original_claim"))).select("flag_id", "record_id")
+    by_claim = containment.contained(records.select("record_id", "text"), flags.select("flag_id", "original_claim"))
     return by_source.unionByName(by_claim).distinct()
 
 
