@@ -42,23 +42,32 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: one document of each group of near duplicates stays, that of the least id."""
-    keep = stored(jaccard.groups(docs).where("keep").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")), "pipeline-keep")
-    tally = keep.agg(F.count("*").alias("n"), F.count_distinct("_k1", "_k2").alias("d")).first()
-    k1, k2 = row_keys("doc_id", "text")
-    rows = docs.withColumns({"_k1": k1, "_k2": k2})
-    if tally.n != tally.d:
-        rows = rows.dropDuplicates(["_k1", "_k2"])
-    return rows.join(keep.distinct() if tally.n != tally.d else keep, ["_k1", "_k2"], "left_semi").select(*docs.columns)
+    """Operator 5: one document of each group of near duplicates stays, that of the least id, ties by the row keys.
+
+    Texts without words, null ones too, are in no group and stay. Rows equal in id and text are one document and stay or go
+    together, whatever their other columns hold. A null id comes behind all others; an empty table gives an empty one.
+    """
+    k1, k2 = private(docs, "k1"), private(docs, "k2")
+    keep = stored(jaccard.groups(docs).where("keep").select(F.col("k1").alias(k1), F.col("k2").alias(k2)).distinct(), "pipeline-keep")
+    one, two = row_keys("doc_id", "text")
+    return docs.withColumns({k1: one, k2: two}).join(keep, [k1, k2], "left_semi").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: documents drawn by their raked and calibrated probabilities."""
+    """Operator 7: documents drawn by their raked and calibrated probabilities.
+
+    A null source or language is a category of its own, a null or empty text has no tokens; rows of equal id are drawn together, those
+    of null id too; an empty table gives an empty one.
+    """
     return mixing.drawn(docs, keep=MIX_KEEP)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: token sequences of at most 1024 ids."""
+    """Operator 4: token sequences of at most 1024 ids.
+
+    A null or empty text is its end mark alone; rows that repeat are packed as often as they occur; ties between pieces of one length
+    are broken by their ids; an empty table gives no pieces.
+    """
     return packing.pack_documents(docs, tokenizer_path())
 
 
@@ -70,7 +79,8 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: The learned scores and the word hashes of SimHash and MinHash are beyond SQL; tests hold the stages against brute force.
+#: Learned scores and edit distances of line groups are beyond SQL. Tests hold the Jaccard stage and exact line copies against brute force, and
+#: each other stage against its operator, which has tests of its own.
 ORACLE_SQL = None
 
 
