@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.functions.text import stable_dataset_id
+from sitelens.sources import geojson
 
 
 def inventory(spark: SparkSession, root: str, extensions: Sequence[str] | None = None) -> DataFrame:
@@ -58,10 +59,13 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
 
 
 def read_geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
-    """Features of a collection: the listed properties, geometry type and ``rings`` (parts for lines, one vertex list for points)."""
-    geometry = "type string, coordinates string"
-    rows = spark.read.option("multiLine", "true").schema(f"type string, features array<struct<properties:struct<{_struct(properties)}>,geometry:struct<{_struct(geometry)}>>>").json(path)
-    features = rows.select(F.explode("features").alias("f")).select("f.properties.*", F.col("f.geometry.type").alias("geometry_type"), F.col("f.geometry.coordinates").alias("_c"))
+    """Features of a collection: the listed properties, geometry type and ``rings`` (parts for lines, one vertex list for points).
+
+    A large file is read by as many tasks as it has byte ranges.
+    """
+    shape = f"type string, properties struct<{_struct(properties)}>, geometry struct<{_struct('type string, coordinates string')}>"
+    features = geojson.read_objects(spark, path).select(F.from_json("text", shape).alias("f")).where("f.type = 'Feature'")
+    features = features.select("f.properties.*", F.col("f.geometry.type").alias("geometry_type"), F.col("f.geometry.coordinates").alias("_c"))
     return features.withColumn("rings", _rings(F.col("geometry_type"), F.col("_c"))).drop("_c")
 
 
