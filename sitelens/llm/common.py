@@ -36,6 +36,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/sitelens/{name}-{uuid.uuid4().hex}"
 
 
+#: The driver's heap is given back after so many written tables: their plans are garbage by then, and the heap would grow to its limit.
+TABLES_A_RELEASE = 4
+_written = itertools.count(1)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back.
 
@@ -44,6 +49,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    if next(_written) % TABLES_A_RELEASE == 0:
+        release(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
