@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sitelens.functions import constants as K
 from sitelens.functions.text import plain_tokens, tokens
+from sitelens.sources import versions
 
 
 @dataclass
@@ -39,15 +40,33 @@ def build_index(records: DataFrame, id_col: str, text_col: str) -> LexicalIndex:
     return LexicalIndex(term_frequencies(records, id_col, text_col), lengths, stats)
 
 
-def write_index(index: LexicalIndex, path: str, parts: int) -> None:
-    """Writes the index, postings dealt by token; the one-row statistics last, as the commit mark."""
-    index.postings.repartition(parts, "token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/postings")
-    index.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-    index.stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+def write_index(index: LexicalIndex, path: str, parts: int, vectors: DataFrame | None = None, digest: str = "") -> int:
+    """Commits the index, postings dealt by token, and the records' vectors where there are any, as one version of ``path``.
 
-
-def read_index(spark, path: str) -> LexicalIndex:
-    return LexicalIndex(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", "stats")))
+    Searches read the version before until then. ``digest`` names the content it was made from.
+    """
+    tables = {"postings": index.postings.repartition(parts, "token").sortWithinPartitions("token"), "lengths": index.lengths, "stats": index.stats.coalesce(1)}
+    n_vectors = vectors.count() if vectors is not None else 0
+    if vectors is not None:
+        tables["vectors"] = vectors
+    return versions.commit(index.postings.sparkSession, path, tables, properties={"digest": digest, "vectors": str(n_vectors)})
+
+
+def read_index(spark, path: str, version: int | None = None) -> LexicalIndex:
+    """The index of the newest version, or of a given one."""
+    version = versions.versions(spark, path)[-1] if version is None and versions.versions(spark, path) else version
+    return LexicalIndex(*(versions.read(spark, path, name, version) for name in ("postings", "lengths", "stats")))
+
+
+def index_state(spark, path: str, digest: str, records: int, with_vectors: bool) -> str:
+    """``MISSING``, ``STALE`` (made from other content), ``INCOMPLETE`` (not a vector for each record where vectors are asked for) or ``READY``."""
+    try:
+        held = versions.state(spark, path)
+    except versions.NoVersion:
+        return "MISSING"
+    if held["properties"].get("digest") != digest:
+        return "STALE"
+    return "INCOMPLETE" if with_vectors and int(held["properties"].get("vectors", 0)) != records else "READY"
 
 
 def query_tokens(queries: DataFrame, query_col: str = "query") -> DataFrame:

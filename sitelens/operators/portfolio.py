@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitelens.functions.constants import STORED_STATUSES
+from sitelens.sources import versions
+from sitelens.staging import staged
 
 
 def storable(runs: DataFrame, status: str = "workflow_status") -> DataFrame:
@@ -13,9 +15,21 @@ def storable(runs: DataFrame, status: str = "workflow_status") -> DataFrame:
     return runs.where(F.col(status).isin(*STORED_STATUSES))
 
 
-def append_runs(runs: DataFrame, path: str) -> None:
-    """Appends storable runs; earlier snapshots never change."""
-    storable(runs).write.mode("append").parquet(path)
+def append_runs(runs: DataFrame, path: str) -> int:
+    """Commits storable runs and the latest run of each of their projects as one version; earlier runs never change."""
+    spark, own = runs.sparkSession, staged(storable(runs), "runs")
+    return versions.commit(spark, path, append={"runs": own, "latest": latest_runs(own)})
+
+
+def stored_runs(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    return versions.read(spark, path, "runs", version)
+
+
+def latest_pointers(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """``project_id, run_count, latest_run_id, latest_at`` of each project from the pointers alone; the runs are not read."""
+    top = F.max(F.struct("latest_at", "latest_run_id")).alias("t")
+    held = versions.read(spark, path, "latest", version).groupBy("project_id").agg(F.sum("run_count").alias("run_count"), top)
+    return held.select("project_id", "run_count", "t.latest_run_id", "t.latest_at")
 
 
 def latest_runs(runs: DataFrame, by: str = "project_id", at: str = "created_at", run: str = "run_id") -> DataFrame:
