@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelens.catalog import corpus, evidence, ingest, portfolio, records, search, spatial
+from sitelens.catalog import corpus, evidence, ingest, portfolio, records, search, spatial, wider
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (search, spatial, corpus, portfolio, evidence, ingest, records)
+_MODULES = (search, spatial, corpus, portfolio, evidence, ingest, records, wider)
 
 
 def queries() -> dict[str, Query]:

@@ -170,7 +170,7 @@ def admitted_chunks(chunk_rows: DataFrame, documents: DataFrame) -> DataFrame:
 
 def no_text_pages(pages: DataFrame, overrides: DataFrame) -> DataFrame:
     """Pages without text: an override's assessment, else visual content, else unknown."""
-    blank = pages.where(F.trim(F.coalesce("text", F.lit(""))) == "").join(F.broadcast(overrides), ["document_id", "page"], "left")
+    blank = pages.where(~F.rlike(F.coalesce("text", F.lit("")), F.lit(r"\S"))).join(F.broadcast(overrides), ["document_id", "page"], "left")
     visual = (F.col("images") > 0) | (F.col("drawings") > 0)
     return blank.select("document_id", "page", F.coalesce("assessment", F.when(visual, "VISUAL_CONTENT").otherwise("UNKNOWN")).alias("assessment"))
 

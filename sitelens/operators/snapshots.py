@@ -139,7 +139,7 @@ def input_label(path: Column) -> Column:
 
 def input_display(path: Column, value: Column) -> Column:
     """How a report shows an input's JSON text: units, and words for what is empty."""
-    plain = F.try_variant_get(F.try_parse_json(value), "$", "string")
+    plain = F.when(F.startswith(value, F.lit('"')), F.try_variant_get(F.try_parse_json(value), "$", "string"))
     shown = F.when(value == "true", "True").when(value == "false", "False").otherwise(F.coalesce(plain, value))
     out = shown
     for name, unit in K.INPUT_UNITS.items():

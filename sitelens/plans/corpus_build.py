@@ -60,13 +60,12 @@ def build(documents: DataFrame, pages: DataFrame) -> Mapping[str, DataFrame]:
     state = documents.withColumn("_plan", planned(documents))
     wanted = state.where(F.col("_plan") == EXTRACTED).select("document_id")
     own = pages.join(wanted, "document_id", "left_semi")
-    blank = F.trim(F.coalesce("text", F.lit(""))) == ""
+    blank = ~F.rlike(F.coalesce("text", F.lit("")), F.lit(r"\S"))
     facts = own.groupBy("document_id").agg(F.min("error").alias("_error"), F.count("*").alias("_pages"), F.array_sort(F.collect_list(F.when(blank, F.col("page")))).alias("_blank"))
     facts = staged(facts, "build-facts")
     sound = own.join(facts.where("_error is null").select("document_id"), "document_id", "left_semi").withColumn("id", F.struct("document_id", "page"))
     cut = corpus.chunks(sound, "id", "text").select("id.document_id", "id.page", "chunk_index", "chunk_text")
-    # Chunks of a page are numbered from 1 in their ids.
-    cut = staged(cut.withColumn("chunk_id", corpus.chunk_id(F.col("document_id").cast("string"), F.col("page"), F.col("chunk_index") + 1)), "build-chunks")
+    cut = staged(cut.withColumn("chunk_id", corpus.chunk_id(F.col("document_id").cast("string"), F.col("page"), F.col("chunk_index"))), "build-chunks")
     counted = cut.groupBy("document_id").agg(F.count("*").alias("_chunks"))
     joined = state.join(facts, "document_id", "left").join(counted, "document_id", "left")
     read = F.col("_plan") == EXTRACTED

@@ -41,6 +41,6 @@ def test_one_bad_document_stops_no_other(spark, tmp_path):
     assert (got["d1"].page_count, got["d1"].chunk_count, got["d1"].no_text_pages) == (3, 2, [3]) and got["d5"].chunk_count == 1
     assert "header" in got["d2"].extraction_error and "DCTDecode" in got["d3"].extraction_error and got["d7"].extraction_error == "no page could be read"
     chunks = {r.chunk_id: r.chunk_text for r in versions.read(spark, target, "chunks").collect()}
-    assert set(chunks) == {"d1-p0001-001", "d1-p0002-001", "d5-p0001-001"} and chunks["d5-p0001-001"] == "Aims of the plan"
+    assert set(chunks) == {"d1-p0001-000", "d1-p0002-000", "d5-p0001-000"} and chunks["d5-p0001-000"] == "Aims of the plan"
     assert [tuple(r) for r in versions.read(spark, target, "no_text_pages").collect()] == [("d1", 3, "VISUAL_CONTENT")]
     assert {r.extraction_status: r.documents for r in versions.read(spark, target, "report").collect()}["FAILED"] == 4
