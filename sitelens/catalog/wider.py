@@ -53,7 +53,7 @@ _LEAK_SQL = (
     f"with q as (select n_nationkey as qid, case when n_nationkey % 3 > 0 then {sql_pick(JURISDICTIONS, 'n_nationkey')} end as asked from nation), "
     f"r as (select id % 29 as qid, source_class as s, document_status as t, jurisdiction as j, review or id % 19 = 4 as flagged from ({RECORDS_SQL})), "
     "p as (select q.qid, bool_or(s = 'PRIMARY' and t = 'CURRENT') as a, bool_or(t in ('PROPOSED', 'HISTORICAL', 'SUPERSEDED')) as h, bool_or(s in ('RESTRICTED', 'ARCHIVE')) as x, "
-    "bool_or(asked is not null and not (j = asked or (asked = 'IRELAND' and j = 'LOCAL_AUTHORITY'))) as w, bool_or(flagged) as f from q left join r on r.qid = q.qid group by q.qid) "
+    "bool_or(asked is not null and not (j = asked or (asked = 'IRELAND' and j in ('LOCAL_AUTHORITY', 'EU')))) as w, bool_or(flagged) as f from q left join r on r.qid = q.qid group by q.qid) "
     "select count(*) as cases, round(count(*) filter (a) / count(*)::double, 6) as authoritative_source_hit_rate, round(count(*) filter (h) / count(*)::double, 6) as historical_leakage_rate, "
     "round(count(*) filter (x) / count(*)::double, 6) as restricted_archive_leakage_rate, round(count(*) filter (w) / count(*)::double, 6) as jurisdiction_leakage_rate, round(count(*) filter (f) / count(*)::double, 6) as flagged_claim_leakage_rate from p"
 )
