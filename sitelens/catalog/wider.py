@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from sitelens.catalog.base import APPLICATIONS_SQL, ASSETS_SQL, JURISDICTIONS, RECORDS_SQL, SITES_SQL, ZONES_SQL, applications, assets, pick, policy_records, sites, sql_pick, table, zone_centres, zones
 from sitelens.catalog.corpus import _NORM
+from sitelens.catalog.records import FACT_NAMES
 from sitelens.functions import constants as K
 from sitelens.functions import geo
-from sitelens.operators import evaluators, retrieval, snapshots
+from sitelens.operators import bundle, evaluators, retrieval, snapshots
 from sitelens.plans import corpus_build
 
 FILES = ("a.pdf", "b.docx", "note.txt", "d.PDF", "e.pdf", "rag_records.jsonl", "x/y.Docx")
@@ -134,7 +135,87 @@ _INPUT_SQL = (
     "case when b = '[]' then 'None recorded' else trim(b, '\"') || unit end as current_display, case when a is not distinct from b then 'unchanged' else 'changed' end as change_kind from t"
 )
 
+ISSUERS = ("CRU", " ", "EirGrid")
+
+
+def _hits(spark, d):
+    """Records as search hits of fifty projects, each found by two queries of which the first in order counts."""
+    i = F.col("id")
+    rows = policy_records(table(spark, d, "documents")).select(
+        (i % 50).alias("project_id"), F.concat(F.lit("r"), i.cast("string")).alias("record_key"), F.element_at(F.concat("domains", F.array(F.lit("GENERAL"))), 1).alias("domain"),
+        F.when(i % 7 != 2, F.concat(F.lit("T"), i.cast("string"))).alias("title"), F.concat(F.lit("d"), F.col("document_id").cast("string")).alias("document_id"), pick(ISSUERS, i).alias("issuer"),
+        F.lit(None).cast("string").alias("source_path"), F.when(i % 6 != 3, F.substring("text", 1, 30)).alias("text"), F.when(i % 9 != 4, F.col("source_class")).alias("source_class"), "document_status",
+        F.when(i % 3 == 0, "REGISTERED_SOURCE").alias("verification_status"), F.when(i % 4 != 1, F.col("review")).alias("review"),
+    )
+    twice = rows.withColumn("query", F.lit(1)).union(rows.withColumn("domain", F.lit("OTHER")).withColumn("query", F.lit(2)))
+    return bundle.first_hits(twice, ("query",)).drop("query")
+
+
+POLICY = ("project_id", "evidence_id", "domain", "field_name", "fact", "source_name", "source_reference", "source_class", "document_status", "state", "confidence", "verification_status", "limitation", "human_review_required")
+
+
+def policy_evidence(spark, d):
+    return bundle.policy_records(_hits(spark, d)).select(*POLICY)
+
+
+_HITS_SQL = (
+    f"h as (select id % 50 as project_id, 'r' || id as k, case when len(domains) > 0 then domains[1] else 'GENERAL' end as domain, case when id % 7 <> 2 then 'T' || id else 'd' || document_id end as title, "
+    f"trim({sql_pick(ISSUERS, 'id')}) as issuer, coalesce(case when id % 6 <> 3 then substr(text, 1, 30) end, '') as text, coalesce(case when id % 9 <> 4 then source_class end, 'UNKNOWN') as kind, document_status as status, "
+    f"case when id % 3 = 0 then 'REGISTERED_SOURCE' else 'UNVERIFIED' end as verified, coalesce(case when id % 4 <> 1 then review end, false) as review from ({RECORDS_SQL}))"
+)
+_POLICY_SQL = (
+    f"with {_HITS_SQL} select project_id, 'rag-' || k as evidence_id, domain, 'policy.' || lower(domain) as field_name, case when text <> '' then text else 'Retrieved evidence from ' || title end as fact, "
+    "case when issuer <> '' then issuer || ' — ' || title else title end as source_name, k as source_reference, kind as source_class, status as document_status, 'PROVIDED' as state, "
+    "case when kind = 'PRIMARY' then 'HIGH' else 'MEDIUM' end as confidence, verified as verification_status, "
+    "case when status <> 'CURRENT' then 'Policy version is not current; excluded from normal current-policy evidence.' when kind not in ('PRIMARY', 'CURATED') then 'Supporting evidence; it is not a primary authority.' end as limitation, "
+    "review as human_review_required from h"
+)
+
+
+def _project_parts(spark, d):
+    i = F.col("page_id")
+    pages = table(spark, d, "pages")
+    place = [(i % 50).alias("project_id"), F.concat(F.lit("p"), (i % 9).cast("string")).alias("project_document_id"), F.lit("https://example.org/a").alias("source_url"), F.lit("page 1").alias("locator")]
+    facts = pages.where("page_id % 2 = 0").select(*place, i.cast("string").alias("fact_id"), pick(FACT_NAMES, i).alias("field_name"), F.when(i % 3 > 0, i.cast("string")).alias("value"), F.lit("PLANNED").alias("status"), (i % 5 == 0).alias("benchmark_only"))
+    chunks = pages.where("page_id % 2 = 1").select(*place, i.cast("string").alias("chunk_id"), F.when(i % 3 > 0, "GRID").alias("domain"), F.lit("words").alias("text"))
+    return bundle.project_fact_records(facts), bundle.project_chunk_records(chunks)
+
+
+def project_evidence(spark, d):
+    """Addresses look like drive paths to the rule that hides those, and are cut at their scheme."""
+    facts, chunks = _project_parts(spark, d)
+    return facts.union(chunks).select("project_id", "evidence_id", "domain", "field_name", "fact", "state", "source_name", "source_reference")
+
+
+def _facts_sql() -> str:
+    cases = " ".join(f"when {' or '.join(f'contains(lower(f), $${w}$$)' for w in words)} then '{domain}'" for words, domain in K.FACT_DOMAINS)
+    return (
+        f"f as (select page_id as i, page_id % 50 as project_id, {sql_pick(FACT_NAMES, 'page_id')} as f, case when page_id % 3 > 0 then page_id::varchar end as v from pages where page_id % 2 = 0), "
+        f"o as (select project_id, 'project-fact-' || i as evidence_id, case {cases} else 'GENERAL' end as domain, 'project.' || f as field_name, "
+        "f || ': {\"benchmark_only\": ' || (i % 5 = 0)::varchar || ', \"status\": \"PLANNED\", \"value\": ' || coalesce(v, 'null') || '}' as fact, case when v is null then 'UNKNOWN' else 'PROVIDED' end as state, i % 9 as doc from f "
+        "union all select page_id % 50, 'project-chunk-' || page_id, case when page_id % 3 > 0 then 'GRID' else 'UNKNOWN' end, case when page_id % 3 > 0 then 'project_document.grid' else 'project_document.unknown' end, 'words', 'PROVIDED', page_id % 9 from pages where page_id % 2 = 1)"
+    )
+
+
+def evidence_bundle(spark, d):
+    """Per project what a bundle of policy and project evidence holds."""
+    none = table(spark, d, "nation").limit(0).select(F.col("n_nationkey").alias("project_id"), F.col("n_name").alias("item"))
+    facts, chunks = _project_parts(spark, d)
+    whole = bundle.assemble({"policy": bundle.policy_records(_hits(spark, d)), "project": facts.unionByName(chunks)}, none)
+    records = whole["records"].groupBy("project_id").agg(F.count_if(F.col("source_order") == 2).alias("policy"), F.count_if(F.col("source_order") == 3).alias("project"))
+    missing = whole["missing"].groupBy("project_id").agg(F.count("*").alias("missing"))
+    return records.join(missing, "project_id", "left").na.fill(0, ["missing"])
+
+
+_BUNDLE_SQL = (
+    f"with {_HITS_SQL}, {_facts_sql()}, a as (select project_id, 1 as p, 0 as q, null as m from h union all select project_id, 0, 1, case when state = 'UNKNOWN' then domain || field_name end from o) "
+    "select project_id, sum(p)::bigint as policy, sum(q)::bigint as project, count(distinct m) as missing from a group by project_id"
+)
+
 QUERIES = {
+    "q84_policy_evidence": policy_evidence,
+    "q85_project_evidence": project_evidence,
+    "q86_evidence_bundle": evidence_bundle,
     "q77_corpus_build": corpus_states,
     "q78_result_leakage": leakage,
     "q79_biodiversity": biodiversity,
@@ -145,6 +226,9 @@ QUERIES = {
 }
 
 SQL = {
+    "q84_policy_evidence": _POLICY_SQL,
+    "q85_project_evidence": f"with {_facts_sql()} select project_id, evidence_id, domain, field_name, fact, state, 'PROJECT DOCUMENT — p' || doc as source_name, 'http<path>::page 1' as source_reference from o",
+    "q86_evidence_bundle": _BUNDLE_SQL,
     "q77_corpus_build": _BUILD_SQL,
     "q78_result_leakage": _LEAK_SQL,
     "q79_biodiversity": _BIO_SQL,
