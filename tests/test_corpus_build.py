@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+from sitelens.__main__ import main
 from sitelens.plans import corpus_build
 from sitelens.sources import versions
 from tests.test_pdf import OBJECTS, classic
@@ -44,3 +47,30 @@ def test_one_bad_document_stops_no_other(spark, tmp_path):
     assert set(chunks) == {"d1-p0001-000", "d1-p0002-000", "d5-p0001-000"} and chunks["d5-p0001-000"] == "Aims of the plan"
     assert [tuple(r) for r in versions.read(spark, target, "no_text_pages").collect()] == [("d1", 3, "VISUAL_CONTENT")]
     assert {r.extraction_status: r.documents for r in versions.read(spark, target, "report").collect()}["FAILED"] == 4
+
+
+def test_commands_from_files_to_searches(spark, tmp_path, capsys):
+    root, corpus, index = tmp_path / "raw", f"file://{tmp_path}/corpus", f"file://{tmp_path}/index"
+    root.mkdir()
+    (root / "a.pdf").write_bytes(classic())
+    docx(root / "b.docx", "<w:p><w:r><w:t>Water supply and drainage</w:t></w:r></w:p>")
+    docx(root / "c.docx", "<w:p><w:r><w:t>Water supply and drainage</w:t></w:r></w:p>")
+    rows = [(i, f"{i}.{kind}", "PRIMARY", True) for i, kind in (("a", "pdf"), ("b", "docx"), ("c", "docx"), ("z", "pdf"))]
+    register = tmp_path / "register.jsonl"
+    line = lambda i, path, kind, ok: json.dumps({"document_id": i, "source_path": path, "source_class": kind, "retrieval_eligible": ok})
+    register.write_text("\n".join(line(*r) for r in rows[:3]))
+    build = ["build", f"file://{root}", "--register", str(register), "--corpus", corpus]
+    assert main(build) == 0 and "EXTRACTED\t3" in capsys.readouterr().out
+    where = ["--corpus", corpus, "--index", index]
+    assert main(["index", *where]) == 0 and capsys.readouterr().out.split() == ["MISSING"]
+    assert main(["index", *where]) == 0 and capsys.readouterr().out.split() == ["READY"]
+    assert main(["search", "grid power", "water", *where]) == 0
+    hits = [x.split("\t") for x in capsys.readouterr().out.splitlines()[1:]]
+    # Equal texts are one record.
+    assert [(h[0], h[1], h[4]) for h in hits] == [("0", "1", "a.pdf"), ("1", "1", "b.docx")]
+    register.write_text("\n".join(line(*r) for r in rows))
+    assert main(build) == 1
+    assert main(["index", *where]) == 0 and "READY" in capsys.readouterr().out
+    (root / "b.docx").unlink()
+    docx(root / "b.docx", "<w:p><w:r><w:t>Other words</w:t></w:r></w:p>")
+    assert main(build) == 1 and main(["index", *where]) == 0 and "STALE" in capsys.readouterr().out
