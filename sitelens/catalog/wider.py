@@ -212,7 +212,39 @@ _BUNDLE_SQL = (
     "select project_id, sum(p)::bigint as policy, sum(q)::bigint as project, count(distinct m) as missing from a group by project_id"
 )
 
+STATES = ("CONSTRAINED", "CONDITIONAL", "UNKNOWN", "CLEAR", "", "PARTIAL")
+FOUND_DOMAINS = ("GRID", "WATER", "PLANNING")
+
+
+def finding_texts(spark, d):
+    k = F.col("p_partkey")
+    some = lambda every, *items: F.when(k % every == 0, F.array().cast("array<string>")).otherwise(F.array(*items))
+    f = {
+        "status": pick(STATES, k),
+        "domain": pick(FOUND_DOMAINS, k),
+        "constraint": F.when(k % 4 > 0, F.concat(F.lit("limit "), k.cast("string"))),
+        "impact": F.when(k % 5 == 0, " ").otherwise(F.concat(F.lit("impact "), (k % 9).cast("string"))),
+        "unknowns": some(7, F.lit("capacity"), F.concat(F.lit("u"), (k % 2).cast("string")), F.lit("capacity")),
+        "required_next": some(3, F.lit("offer"), F.lit("survey")),
+        "evidence_ids": some(8, F.concat(F.lit("e"), k.cast("string")), F.lit("e0"), F.lit("e0")),
+        "finding_id": F.concat(F.lit("f"), k.cast("string")),
+    }
+    return table(spark, d, "part").select(k.alias("part_id"), bundle.finding_text(f).alias("text"))
+
+
+_TEXT_SQL = (
+    f"with p as (select p_partkey as k, {sql_pick(STATES, 'p_partkey')} as s, {sql_pick(FOUND_DOMAINS, 'p_partkey')} as d from part), "
+    "t as (select *, case when k % 4 > 0 then 'limit ' || k end as c, case when k % 5 > 0 then 'impact ' || k % 9 end as i, case when k % 7 > 0 then 'capacity; u' || k % 2 else d || ' evidence is incomplete.' end as u from p) "
+    "select k as part_id, case s when 'CONSTRAINED' then s || ' — ' || d || ': ' || coalesce(c, 'A constrained status is recorded by the assessment.') "
+    "when 'CONDITIONAL' then s || ' — ' || d || ': ' || coalesce(i, 'This issue is potentially resolvable, subject to further evidence or specialist review.') "
+    "when 'UNKNOWN' then s || ' — ' || d || ': The assessment has not found sufficient evidence to confirm ' || u || '.' "
+    "when 'CLEAR' then s || ' — ' || d || ': ' || coalesce(i, 'No explicit hard constraint was identified in the supplied evidence.') "
+    "else case s when '' then 'NOT_ASSESSED' else s end || ' — ' || d || ': The assessment did not classify this domain as resolved.' end "
+    "|| case when k % 3 > 0 then ' Evidence that could resolve or progress this item: offer; survey.' else '' end || ' [finding: f' || k || ']' || case when k % 8 > 0 then ' [evidence: e' || k || ', e0]' else '' end as text from t"
+)
+
 QUERIES = {
+    "q87_finding_texts": finding_texts,
     "q84_policy_evidence": policy_evidence,
     "q85_project_evidence": project_evidence,
     "q86_evidence_bundle": evidence_bundle,
@@ -226,6 +258,7 @@ QUERIES = {
 }
 
 SQL = {
+    "q87_finding_texts": _TEXT_SQL,
     "q84_policy_evidence": _POLICY_SQL,
     "q85_project_evidence": f"with {_facts_sql()} select project_id, evidence_id, domain, field_name, fact, state, 'PROJECT DOCUMENT — p' || doc as source_name, 'http<path>::page 1' as source_reference from o",
     "q86_evidence_bundle": _BUNDLE_SQL,

@@ -35,10 +35,9 @@ def _held(records: DataFrame) -> DataFrame:
     """
     text = F.col("text")
     unknown = rules.is_unknown(F.col("state"))
-    has = lambda *terms: contains_any(text, terms)
     ids = lambda c, name: F.array_sort(F.collect_set(F.when(c, F.col("evidence_id")))).alias(name)
-    energised = has("energisation", "energization")
-    planned = F.contains(text, F.lit("planned_not_commissioned")) | (F.contains(text, F.lit("planned")) & F.contains(text, F.lit("renewable")))
+    energised = contains_any(text, K.ENERGISATION_TERMS)
+    planned = contains_any(text, (K.PLANNED_ENERGY_TERM,)) | (contains_any(text, (K.PLANNED_TERM,)) & contains_any(text, (K.RENEWABLE_TERM,)))
     return records.groupBy("project_id", "domain").agg(
         ids(F.lit(True), "all_ids"),
         ids(unknown, "unknown_ids"),
@@ -46,13 +45,13 @@ def _held(records: DataFrame) -> DataFrame:
         ids(F.col("project_document"), "document_ids"),
         ids(F.col("authoritative"), "authoritative_ids"),
         F.bool_or(F.col("deterministic")).alias("any_deterministic"),
-        ids(F.col("deterministic") & has("nearest", "asset", "capacity", "connection"), "context_ids"),
-        ids(has("agreement"), "agreement_ids"),
+        ids(F.col("deterministic") & contains_any(text, K.GRID_CONTEXT_TERMS), "context_ids"),
+        ids(contains_any(text, K.AGREEMENT_TERMS), "agreement_ids"),
         ids(energised, "energisation_ids"),
         F.bool_or(energised & ~unknown).alias("energised"),
-        F.bool_or(has("proposed substation", "planned substation", "proposed connection")).alias("proposed"),
-        F.bool_or(has("feasibility")).alias("feasibility"),
-        F.bool_or(has("connection agreement", "secured connection", "operational connection")).alias("secured"),
+        F.bool_or(contains_any(text, K.PROPOSED_GRID_TERMS)).alias("proposed"),
+        F.bool_or(contains_any(text, K.FEASIBILITY_TERMS)).alias("feasibility"),
+        F.bool_or(contains_any(text, K.SECURED_GRID_TERMS)).alias("secured"),
         F.bool_or(planned).alias("planned"),
         ids(F.rlike(text, F.lit(K.NO_INTERSECTION_PATTERN)), "clear_of_ids"),
         ids(F.col("project_document") & contains_any(text, K.POLICY_INTERPRETATION_TERMS), "interpretation_ids"),

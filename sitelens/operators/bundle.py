@@ -39,7 +39,7 @@ def policy_records(hits: DataFrame) -> DataFrame:
     issuer = F.trim(F.coalesce("issuer", F.lit("")))
     text = F.coalesce("text", F.lit(""))
     path = F.coalesce("source_path", F.lit(""))
-    supporting = F.when(~kind.isin("PRIMARY", "CURATED"), "Supporting evidence; it is not a primary authority.")
+    supporting = F.when(~kind.isin("PRIMARY", "CURATED"), K.SUPPORTING_LIMITATION)
     return _record(
         hits,
         {
@@ -56,7 +56,7 @@ def policy_records(hits: DataFrame) -> DataFrame:
             "state": F.lit("PROVIDED"),
             "confidence": F.when(kind == "PRIMARY", "HIGH").otherwise("MEDIUM"),
             "verification_status": F.coalesce("verification_status", F.lit("UNVERIFIED")),
-            "limitation": F.when(status != "CURRENT", "Policy version is not current; excluded from normal current-policy evidence.").otherwise(supporting),
+            "limitation": F.when(status != "CURRENT", K.NOT_CURRENT_LIMITATION).otherwise(supporting),
             "human_review_required": F.coalesce("review", F.lit(False)),
             "human_review_role": rules.review_role(domain),
             "created_by": F.lit("RAG_RETRIEVAL"),
@@ -86,7 +86,7 @@ def _project(rows: DataFrame, made: Mapping[str, Column]) -> DataFrame:
             "document_status": F.lit("SUPPORTING"),
             "confidence": F.lit("UNKNOWN"),
             "verification_status": F.lit("UNVERIFIED_PROJECT_DOCUMENT"),
-            "limitation": F.lit("Untrusted project-document evidence; not authoritative policy. Human verification required."),
+            "limitation": F.lit(K.PROJECT_LIMITATION),
             "human_review_required": F.lit(True),
             "human_review_role": rules.review_role(domain),
             "created_by": F.lit("PROJECT_DOCUMENT"),
@@ -162,14 +162,14 @@ def finding_text(f: Mapping[str, Column], assessor: str = "The assessment") -> C
     or_else = lambda c, words: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(words) if isinstance(words, str) else words)
     status, domain = f["status"], f["domain"]
     dash = lambda word, detail: F.concat(F.lit(f"{word} — "), domain, F.lit(": "), detail)
-    unknowns = or_else(listed(f["unknowns"]), F.concat(domain, F.lit(" evidence is incomplete.")))
+    unknowns = or_else(listed(f["unknowns"]), F.concat(domain, F.lit(K.UNKNOWN_DETAIL)))
     text = (
-        F.when(status == "CONSTRAINED", dash("CONSTRAINED", or_else(f["constraint"], "A constrained status is recorded by the assessment.")))
-        .when(status == "CONDITIONAL", dash("CONDITIONAL", or_else(f["impact"], "This issue is potentially resolvable, subject to further evidence or specialist review.")))
-        .when(status == "UNKNOWN", dash("UNKNOWN", F.concat(F.lit(f"{assessor} has not found sufficient evidence to confirm "), unknowns, F.lit("."))))
-        .when(status == "CLEAR", dash("CLEAR", or_else(f["impact"], "No explicit hard constraint was identified in the supplied evidence.")))
-        .otherwise(F.concat(F.coalesce(F.nullif(status, F.lit("")), F.lit("NOT_ASSESSED")), F.lit(" — "), domain, F.lit(": The assessment did not classify this domain as resolved.")))
+        F.when(status == "CONSTRAINED", dash("CONSTRAINED", or_else(f["constraint"], K.CONSTRAINED_TEXT)))
+        .when(status == "CONDITIONAL", dash("CONDITIONAL", or_else(f["impact"], K.CONDITIONAL_TEXT)))
+        .when(status == "UNKNOWN", dash("UNKNOWN", F.concat(F.lit(assessor + K.UNKNOWN_TEXT), unknowns, F.lit("."))))
+        .when(status == "CLEAR", dash("CLEAR", or_else(f["impact"], K.CLEAR_TEXT)))
+        .otherwise(F.concat(F.coalesce(F.nullif(status, F.lit("")), F.lit("NOT_ASSESSED")), F.lit(" — "), domain, F.lit(K.UNRESOLVED_TEXT)))
     )
-    more = F.when(F.size(f["required_next"]) > 0, F.concat(F.lit(" Evidence that could resolve or progress this item: "), listed(f["required_next"]), F.lit("."))).otherwise("")
+    more = F.when(F.size(f["required_next"]) > 0, F.concat(F.lit(K.RESOLVING_TEXT), listed(f["required_next"]), F.lit("."))).otherwise("")
     ids = F.when(F.size(f["evidence_ids"]) > 0, F.concat(F.lit(" [evidence: "), F.array_join(F.array_distinct(f["evidence_ids"]), ", "), F.lit("]"))).otherwise("")
     return F.concat(text, more, F.lit(" [finding: "), f["finding_id"], F.lit("]"), ids)
