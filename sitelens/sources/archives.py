@@ -1,7 +1,8 @@
 """Python data sources for formats Spark has no reader for: shapefile zips and spreadsheets.
 
-Each layer of a zip, or each workbook, is one input partition. Only the standard library is used. Files are read
-through the executors' file system view; name them by a mounted or local path.
+Each layer of a zip, or each workbook, is one input partition of the data sources, which read through the executors' file system view; name
+files by a mounted or local path there. ``read_workbooks`` and ``read_shapefile_zips`` take many files from any store that Spark can open, all
+sheets and layers, and give damaged files as rows with their error.
 """
 
 from __future__ import annotations
@@ -10,10 +11,14 @@ import io
 import re
 import struct
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 COMPANIONS = (".dbf", ".shx", ".prj")
 
@@ -157,14 +162,27 @@ class _WorkbookReader(DataSourceReader):
             yield i, {names[c] or f"column_{c}": v for c, v in row.items() if c in names}
 
 
-def sheet_rows(raw: bytes) -> Iterator[dict[int, str | None]]:
-    """Rows of the first sheet of an Office Open XML workbook as column number to text."""
+def sheet_names(raw: bytes) -> dict[str, str]:
+    """The sheets of a workbook in its order, by name, and the parts of the file that hold them."""
+    space, rel = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}", "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        held = z.namelist()
+        if not {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= set(held):
+            return {n.rsplit("/", 1)[1].removesuffix(".xml"): n for n in sorted(held, key=lambda n: (len(n), n)) if n.startswith("xl/worksheets/sheet")}
+        targets = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        sheets = ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{space}sheet")
+        parts = {s.get("name"): targets.get(s.get(rel), "") for s in sheets}
+        return {k: v.removeprefix("/") if v.startswith("/") else f"xl/{v}" for k, v in parts.items()}
+
+
+def sheet_rows(raw: bytes, part: str | None = None) -> Iterator[dict[int, str | None]]:
+    """Rows of a sheet of an Office Open XML workbook, the first where none is named, as column number to text."""
     space = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
             shared = ["".join(t.text or "" for t in s.iter(f"{space}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{space}si")]
-        sheet = min(n for n in z.namelist() if n.startswith("xl/worksheets/sheet"))
+        sheet = part or next(iter(sheet_names(raw).values()))
         for row in ElementTree.fromstring(z.read(sheet)).iter(f"{space}row"):
             out: dict[int, str | None] = {}
             for cell in row.iter(f"{space}c"):
@@ -182,6 +200,73 @@ def sheet_rows(raw: bytes) -> Iterator[dict[int, str | None]]:
             yield out
 
 
+SHEETS = "path string, sheet string, row_no int, cells map<string,string>, error string"
+FEATURES = "path string, source_layer string, feature_no int, attributes map<string,string>, rings array<array<struct<x:double,y:double>>>, crs_wkt string, error string"
+
+
+def _each_file(spark: SparkSession, path: str, pattern: str, schema: str, rows: Callable[[bytes], Iterator[dict]]) -> DataFrame:
+    """``rows`` of each file that Spark's binary reader finds, one task a file; a file that cannot be read adds a row with its error."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "content")
+    shape = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                held: list[dict] = []
+                try:
+                    for row in rows(raw):
+                        held.append({"path": at, "error": None, **row})
+                        if len(held) == 1000:
+                            yield pa.RecordBatch.from_pylist(held, shape)
+                            held = []
+                except (ValueError, KeyError, IndexError, struct.error, zipfile.BadZipFile, ElementTree.ParseError, StopIteration) as e:
+                    held.append({"path": at, "error": f"{type(e).__name__}: {e}"})
+                if held:
+                    yield pa.RecordBatch.from_pylist([{f.name: r.get(f.name) for f in shape} for r in held], shape)
+
+    return files.mapInArrow(run, schema)
+
+
+def read_workbooks(spark: SparkSession, path: str, header_row: int = 0, sheet: str | None = None) -> DataFrame:
+    """``SHEETS``: the rows below the header row of every sheet, or of the one named, of each workbook under ``path``."""
+
+    def rows(raw: bytes) -> Iterator[dict]:
+        for name, part in sheet_names(raw).items():
+            if sheet is not None and name != sheet:
+                continue
+            lines = sheet_rows(raw, part)
+            names: dict[int, str | None] = {}
+            for i, line in enumerate(lines):
+                if i == header_row:
+                    names = line
+                elif i > header_row:
+                    cells = {names[c] or f"column_{c}": v for c, v in line.items() if c in names}
+                    yield {"sheet": name, "row_no": i - header_row - 1, "cells": list(cells.items())}
+
+    return _each_file(spark, path, "*.xlsx", SHEETS, rows)
+
+
+def read_shapefile_zips(spark: SparkSession, path: str) -> DataFrame:
+    """``FEATURES`` of every layer of each shapefile archive under ``path``, from any store Spark can open."""
+
+    def rows(raw: bytes) -> Iterator[dict]:
+        with zipfile.ZipFile(io.BytesIO(raw)) as z:
+            names = safe_members(z)
+            gaps = missing_companions(names)
+            if gaps:
+                raise ValueError(f"companion files are missing: {gaps}")
+            real = {n.lower(): n for n in names}
+            for layer in layer_names(names):
+                part = lambda ext, layer=layer: z.read(real[layer.lower() + ext])
+                fields, records = read_dbf(part(".dbf"))
+                wkt = part(".prj").decode("utf-8", "replace").strip()
+                for i, (record, parts) in enumerate(zip(records, read_shp(part(".shp")), strict=True)):
+                    rings = [[{"x": x, "y": y} for x, y in p] for p in parts]
+                    yield {"source_layer": layer.rsplit("/", 1)[-1], "feature_no": i, "attributes": list(zip(fields, record, strict=True)), "rings": rings, "crs_wkt": wkt}
+
+    return _each_file(spark, path, "*.zip", FEATURES, rows)
+
+
 def register(spark) -> None:
     spark.dataSource.register(ShapefileZip)
     spark.dataSource.register(Workbook)

@@ -89,6 +89,31 @@ def test_workbook(spark, tmp_path):
     archives.register(spark)
     got = spark.read.format("workbook").option("header_row", "1").load(str(path)).collect()
     assert [r.cells for r in got] == [{"X": "5", "Y": "7.5"}]
+    names = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    with zipfile.ZipFile(tmp_path / "two.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {space} {names}><sheets><sheet name="Points" r:id="r2"/><sheet name="Notes" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="x"><Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Target="/xl/worksheets/sheet9.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f"<sst {space}><si><t>Title</t></si><si><t>X</t></si><si><t>Y</t></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", sheet)
+        z.writestr("xl/worksheets/sheet9.xml", sheet.replace("7.5", "9"))
+    (tmp_path / "bad.xlsx").write_bytes(b"no zip")
+    every = {(r.path.rsplit("/", 1)[1], r.sheet, str(r.cells), bool(r.error)) for r in archives.read_workbooks(spark, str(tmp_path), 1).collect()}
+    assert every == {
+        ("b.xlsx", "sheet1", str({"X": "5", "Y": "7.5"}), False), ("two.xlsx", "Points", str({"X": "5", "Y": "9"}), False), ("two.xlsx", "Notes", str({"X": "5", "Y": "7.5"}), False), ("bad.xlsx", None, "None", True),
+    }
+    assert [r.sheet for r in archives.read_workbooks(spark, str(tmp_path / "two.xlsx"), 1, "Notes").collect()] == ["Notes"]
+
+
+def test_many_shapefile_zips(spark, tmp_path):
+    shapefile_zip(tmp_path / "one.zip")
+    shapefile_zip(tmp_path / "gap.zip", [("b/L2.shp", b"")])
+    (tmp_path / "bad.zip").write_bytes(b"no zip")
+    got = {}
+    for r in archives.read_shapefile_zips(spark, f"file://{tmp_path}").collect():
+        got.setdefault(r.path.rsplit("/", 1)[1], []).append(r)
+    rows = sorted(got["one.zip"], key=lambda r: r.feature_no)
+    assert [(r.source_layer, r.attributes["NAME"], len(r.rings[0]), r.crs_wkt, r.error) for r in rows] == [("L1", "first", 4, "WKT", None), ("L1", "second", 1, "WKT", None)]
+    assert "companion" in got["gap.zip"][0].error and "BadZipFile" in got["bad.zip"][0].error
 
 
 def test_csv_header_and_columns(spark, tmp_path):
