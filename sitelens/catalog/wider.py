@@ -9,7 +9,7 @@ from sitelens.catalog.corpus import _NORM
 from sitelens.catalog.records import FACT_NAMES
 from sitelens.functions import constants as K
 from sitelens.functions import geo
-from sitelens.operators import bundle, evaluators, retrieval, snapshots
+from sitelens.operators import bundle, evaluators, retrieval, snapshots, validity
 from sitelens.plans import corpus_build
 
 FILES = ("a.pdf", "b.docx", "note.txt", "d.PDF", "e.pdf", "rag_records.jsonl", "x/y.Docx")
@@ -212,6 +212,60 @@ _BUNDLE_SQL = (
     "select project_id, sum(p)::bigint as policy, sum(q)::bigint as project, count(distinct m) as missing from a group by project_id"
 )
 
+TITLES = ("Plan", "Proposed plan", "Decision")
+
+
+def corpus_violations(spark, d):
+    """A corpus with faults by its ids: all eighteen conditions on documents, chunks, files, records, flags and reports."""
+    i, none = F.col("id"), F.array().cast("array<int>")
+    rows = policy_records(table(spark, d, "documents"))
+    docs = rows.select(
+        i.alias("document_id"), F.concat(F.when(i % 37 < 5, "raw/CRU/").otherwise("raw/x/"), i.cast("string")).alias("source_path"), F.concat(F.lit("h"), i.cast("string")).alias("sha256"), "source_class",
+        F.when(i % 43 == 2, "PRIMARY").otherwise(F.col("source_class")).alias("authority_class"), "document_status", pick(TITLES, i).alias("title"), (F.col("eligible") | (i % 29 == 1)).alias("retrieval_eligible"),
+        F.when(i % 31 == 5, i - 1).alias("duplicate_of"), (i % 3).alias("chunk_count"), F.when(i % 4 == 0, F.array(F.lit(1))).otherwise(none).alias("no_text_pages"),
+    )
+    p = F.col("page_id")
+    chunks = table(spark, d, "pages").select(F.when(p % 101 == 0, "c0").otherwise(F.concat(F.lit("c"), p.cast("string"))).alias("chunk_id"), (p * 3).alias("document_id"), (p % 5).alias("page_start"), (p % 7).alias("page_end"))
+    files = docs.where("document_id % 17 <> 3").select("source_path", F.when(F.col("document_id") % 19 == 2, "other").otherwise(F.col("sha256")).alias("sha256"))
+    c = F.col("c_custkey")
+    curated = table(spark, d, "customer").select(c.alias("record_id"), F.when(c % 3 == 0, F.array(F.lit("f"))).otherwise(F.array().cast("array<string>")).alias("review_flags"), (c % 2 == 0).alias("retrieval_eligible"))
+    n = F.col("n_nationkey")
+    flags = table(spark, d, "nation").select(
+        n.alias("flag_id"), F.when(n % 4 == 0, "NOT_TRUSTED_UNMATCHED").otherwise("REVIEW_REQUIRED_MATCHED").alias("trust_treatment"), F.when(n % 3 == 1, F.array().cast("array<long>")).otherwise(F.array(n + 1, n * 6, n - 1000)).alias("matched_record_ids")
+    )
+    no_text = docs.where("document_id % 4 = 0 and document_id % 20 <> 0").select("document_id", F.lit(1).alias("page"))
+    quality = docs.where("source_class = 'PRIMARY' and document_id % 50 <> 0").select("document_id")
+    return validity.corpus_errors(docs, chunks, files, curated, flags, no_text, quality)
+
+
+def _violations_sql() -> str:
+    rule = lambda code, key, source: f"select '{code}' as code, ({key})::varchar as key from {source}"
+    rules = [
+        "select 'DUPLICATE_CHUNK_ID' as code, 'chunks' as key where exists (select 1 from c group by chunk_id having count(*) > 1)",
+        rule("CHUNK_WITHOUT_DOCUMENT", "chunk_id", "c where not exists (select 1 from d where d.k = c.doc)"),
+        rule("EXCLUDED_DOCUMENT_HAS_CHUNK", "path", "c join d on d.k = c.doc where not d.ok"),
+        rule("INVALID_PAGE_RANGE", "chunk_id", "c where a > b"),
+        rule("SOURCE_MISSING", "path", "d where k % 17 = 3"),
+        rule("SOURCE_CHANGED", "path", "d where k % 17 <> 3 and k % 19 = 2"),
+        rule("EXCLUDED_CLASS_HAS_CHUNKS", "path", "d where s in ('ARCHIVE', 'RESTRICTED', 'GOVERNANCE') and k % 3 > 0"),
+        rule("EXCLUDED_CLASS_ELIGIBLE", "path", "d where s in ('ARCHIVE', 'RESTRICTED') and ok"),
+        rule("INDUSTRY_AS_PRIMARY", "path", "d where s = 'SUPPORTING_INDUSTRY' and k % 43 = 2"),
+        rule("DUPLICATE_HAS_CHUNKS", "path", "d where k % 31 = 5 and k % 3 > 0"),
+        "select 'PROPOSED_LABELLED_CURRENT', 'cru' where exists (select 1 from d where cru and t = 'CURRENT' and title = 'Proposed plan') and exists (select 1 from d where cru and t in ('PROPOSED', 'HISTORICAL'))",
+        rule("FLAGGED_RECORD_ELIGIBLE", "c_custkey", "customer where c_custkey % 3 = 0 and c_custkey % 2 = 0"),
+        rule("UNMATCHED_FLAG_HAS_MATCHES", "f", "(select distinct f from m) where f % 4 = 0"),
+        rule("FLAG_WITHOUT_RECORD", "r", "m where r not in (select c_custkey from customer)"),
+        rule("FLAGGED_RECORD_NOT_EXCLUDED", "r", "m where r in (select c_custkey from customer) and (r % 3 <> 0 or r % 2 = 0)"),
+        "select 'NO_TEXT_REPORT_DIFFERS', 'pages' where exists (select 1 from d where k % 20 = 0)",
+        "select 'PRIMARY_REPORT_DIFFERS', 'documents' where exists (select 1 from d where s = 'PRIMARY' and k % 50 = 0)",
+    ]
+    return (
+        f"with d as (select id as k, case when id % 37 < 5 then 'raw/CRU/' else 'raw/x/' end || id as path, id % 37 < 5 as cru, source_class as s, document_status as t, {sql_pick(TITLES, 'id')} as title, eligible or id % 29 = 1 as ok from ({RECORDS_SQL})), "
+        "c as (select case when page_id % 101 = 0 then 'c0' else 'c' || page_id end as chunk_id, page_id * 3 as doc, page_id % 5 as a, page_id % 7 as b from pages), "
+        "m as (select n_nationkey as f, unnest([n_nationkey + 1, n_nationkey * 6, n_nationkey - 1000]) as r from nation where n_nationkey % 3 <> 1) " + " union all ".join(rules)
+    )
+
+
 STATES = ("CONSTRAINED", "CONDITIONAL", "UNKNOWN", "CLEAR", "", "PARTIAL")
 FOUND_DOMAINS = ("GRID", "WATER", "PLANNING")
 
@@ -244,6 +298,7 @@ _TEXT_SQL = (
 )
 
 QUERIES = {
+    "q88_corpus_violations": corpus_violations,
     "q87_finding_texts": finding_texts,
     "q84_policy_evidence": policy_evidence,
     "q85_project_evidence": project_evidence,
@@ -258,6 +313,7 @@ QUERIES = {
 }
 
 SQL = {
+    "q88_corpus_violations": _violations_sql(),
     "q87_finding_texts": _TEXT_SQL,
     "q84_policy_evidence": _POLICY_SQL,
     "q85_project_evidence": f"with {_facts_sql()} select project_id, evidence_id, domain, field_name, fact, state, 'PROJECT DOCUMENT — p' || doc as source_name, 'http<path>::page 1' as source_reference from o",
