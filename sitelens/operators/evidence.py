@@ -116,6 +116,44 @@ def annotated(records: DataFrame, dependency: DataFrame, contradiction: DataFram
     return out.withColumns({"human_review_required": F.col("review_roles").isNotNull(), **{c: F.coalesce(c, F.lit("")) for c in ("dependency_ids", "contradiction_ids", "review_roles")}})
 
 
+def contradiction_links(records: DataFrame) -> DataFrame:
+    """``project_id, field, n_values, evidence_id``: ``contradictions`` as rows, for projects of any size.
+
+    Values are made distinct before they are counted, and the records meet the counts by a plain join, which splits a hot field.
+    """
+    field = folded("field_name")
+    scope = field.isin(*K.SCOPE_FIELDS) | contains_any(field, ("scope", "configuration"))
+    known = records.where(scope & F.col("value").isNotNull() & ~rules.is_unknown(F.col("state"))).select("project_id", field.alias("field"), "value", "evidence_id")
+    several = known.select("project_id", "field", "value").distinct().groupBy("project_id", "field").agg(F.count("*").alias("n_values")).where("n_values >= 2")
+    return known.join(several, ["project_id", "field"]).select("project_id", "field", "n_values", "evidence_id").distinct()
+
+
+def dependency_links(records: DataFrame) -> DataFrame:
+    """``project_id, dependency_id, domain, evidence_id``: ``dependencies`` as rows; only flags are gathered for a project."""
+    field, value = folded("field_name"), folded(F.coalesce("value", F.lit("")))
+    marks = {
+        "agreement": F.contains(field, F.lit("grid_connection_agreement")), "energised": F.contains(field, F.lit("energisation")), "renewable": F.contains(field, F.lit("renewable")),
+        "planned": F.contains(value, F.lit("planned_not_commissioned")), "commissioned": F.contains(field, F.lit("commission")),
+    }
+    marked = records.select("project_id", "evidence_id", *[F.coalesce(c, F.lit(False)).alias(n) for n, c in marks.items()])
+    flags = marked.groupBy("project_id").agg(*[F.bool_or(n).alias(f"any_{n}") for n in marks])
+    unproven = F.col("any_planned") | (F.col("any_renewable") & ~F.col("any_commissioned"))
+    rows = marked.where("agreement or renewable or planned").join(flags, "project_id")
+    one = lambda c, name, domain: F.when(c, F.struct(F.lit(name).alias("dependency_id"), F.lit(domain).alias("domain")))
+    made = F.array_compact(
+        F.array(
+            one(F.col("agreement") & ~F.col("any_energised"), "dependency-grid-agreement-energisation", "GRID"),
+            one((F.col("renewable") | F.col("planned")) & unproven, "dependency-renewable-commissioning", "ENERGY"),
+        )
+    )
+    return rows.select("project_id", "evidence_id", F.explode(made).alias("d")).select("project_id", "d.*", "evidence_id").distinct()
+
+
+def review_links(requests: DataFrame) -> DataFrame:
+    """``project_id, domain, reason_key, evidence_id``: what ``reviews`` lists of each review, as rows."""
+    return requests.select("project_id", "domain", collapsed("reason").alias("reason_key"), "evidence_id").where("evidence_id is not null").distinct()
+
+
 def domain_summary(records: DataFrame, *by: str) -> DataFrame:
     """Per domain: record count, counts per state and per source as ordered ``name=count`` texts."""
 
