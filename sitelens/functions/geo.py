@@ -57,6 +57,11 @@ def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
 
+def length(dx: Column, dy: Column) -> Column:
+    """Length of a vector; equal sums of squares give equal lengths, which ``hypot`` does not promise."""
+    return F.sqrt(dx * dx + dy * dy)
+
+
 def square(x: Column, y: Column, half: Column) -> Column:
     """Rings of the axis-parallel square round a centre."""
     corners = [(-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1)]
@@ -127,9 +132,9 @@ def segment_distance(rings: Column, x: Column, y: Column) -> Column:
     def away(s: Column) -> Column:
         ax, ay = s["a"]["x"], s["a"]["y"]
         dx, dy = s["b"]["x"] - ax, s["b"]["y"] - ay
-        length = dx * dx + dy * dy
-        t = F.when(length == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((x - ax) * dx + (y - ay) * dy) / length)))
-        return F.hypot(x - (ax + t * dx), y - (ay + t * dy))
+        squared = dx * dx + dy * dy
+        t = F.when(squared == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((x - ax) * dx + (y - ay) * dy) / squared)))
+        return length(x - (ax + t * dx), y - (ay + t * dy))
 
     return F.array_min(F.transform(edges(rings), away))
 
@@ -146,6 +151,15 @@ def bounds(rings: Column) -> tuple[Column, Column, Column, Column]:
     return F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)
 
 
+def is_box(rings: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
+    """Whether a polygon is the axis-parallel rectangle of its bounds, which then covers just what they hold."""
+    ring = F.element_at(rings, 1)
+    corner = lambda p: ((p["x"] == xmin) | (p["x"] == xmax)) & ((p["y"] == ymin) | (p["y"] == ymax))
+    sides = [(F.element_at(ring, i)["x"] == F.element_at(ring, i + 1)["x"]) != (F.element_at(ring, i)["y"] == F.element_at(ring, i + 1)["y"]) for i in range(1, 5)]
+    four = F.when((F.size(rings) == 1) & (F.size(ring) == 5), (F.size(F.array_distinct(ring)) == 4) & (F.element_at(ring, 1) == F.element_at(ring, 5)) & F.forall(ring, corner) & sides[0] & sides[1] & sides[2] & sides[3])
+    return F.coalesce(F.when(F.size(rings) > 0, four), F.lit(False))
+
+
 def is_valid_ring_set(rings: Column) -> Column:
     """Each ring has four points at least, is closed, has finite coordinates and no edge that crosses another."""
 

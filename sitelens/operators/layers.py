@@ -88,11 +88,9 @@ def asset_groups(ranked: DataFrame) -> DataFrame:
     return ranked.groupBy("site_id", name.alias("asset_group")).agg(F.count("*").alias("n"), F.array_join(ids, ",").alias("feature_ids"))
 
 
-def overlaps(sites: DataFrame, features: DataFrame) -> DataFrame:
-    """Per site all covering features and whether there are several."""
-    hits = spatial.intersecting(sites, features).groupBy("site_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("feature_id")), lambda x: x.cast("string")), ",").alias("feature_ids"))
-    out = sites.select("site_id").join(hits, "site_id", "left")
-    return out.select("site_id", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) > 1).alias("multiple"), F.coalesce("feature_ids", F.lit("")).alias("feature_ids"))
+def overlaps(sites: DataFrame, features: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Per site all covering features and whether there are several; other columns of ``sites`` named in ``keep`` stay."""
+    return spatial.covering_ids(sites, features).select("site_id", "n", (F.col("n") > 1).alias("multiple"), "feature_ids", *keep)
 
 
 def hit_or_nearest(sites: DataFrame, features: DataFrame) -> DataFrame:

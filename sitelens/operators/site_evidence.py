@@ -18,13 +18,12 @@ def _rows(df: DataFrame, domain: str, state: str, value) -> DataFrame:
 
 def covering(sites: DataFrame, features: DataFrame, domain: str) -> DataFrame:
     """Count of the domain's features that cover each site, zero included."""
-    hits = spatial.intersecting(sites, features).groupBy("site_id").agg(F.count("*").alias("n"))
-    return _rows(sites.select("site_id").join(hits, "site_id", "left"), domain, "FACT", F.coalesce("n", F.lit(0)))
+    return _rows(spatial.covering_counts(sites, features), domain, "FACT", F.col("n"))
 
 
 def nearby(sites: DataFrame, points: DataFrame, domain: str, radius: float) -> DataFrame:
-    counts = spatial.within_radius(sites, points, radius).groupBy("site_id").agg(F.count("*").alias("n"))
-    return _rows(sites.select("site_id").join(counts, "site_id", "left"), domain, "FACT", F.coalesce("n", F.lit(0)))
+    counts = spatial.radius_counts(sites, points, (radius,))
+    return _rows(counts, domain, "FACT", F.col(counts.columns[1]))
 
 
 def unknown(sites: DataFrame, domain: str) -> DataFrame:
