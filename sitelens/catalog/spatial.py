@@ -72,13 +72,13 @@ def topk_nearby(spark, d):
     return near.select("site_id", "feature_id", "status", "rank", F.round("distance", 3).alias("distance"))
 
 
-def _near_assets(spark, d) -> DataFrame:
-    pairs = spatial.within_radius(_sites(spark, d), _assets(spark, d), 10000.0)
-    return spatial.asset_filter(pairs, ["building", "MACHINERY", "Furniture"], 50.0)
+def _filtered_assets(spark, d) -> DataFrame:
+    return spatial.asset_filter(_assets(spark, d), ["building", "MACHINERY", "Furniture"], 50.0)
 
 
 def asset_filters(spark, d):
-    return _near_assets(spark, d).select("site_id", "feature_id", "asset_class", "kv", F.round("distance", 3).alias("distance"))
+    near = spatial.within_radius(_sites(spark, d), _filtered_assets(spark, d), 10000.0, digits=3)
+    return near.select("site_id", "feature_id", "asset_class", "kv", "distance")
 
 
 _FILTERED = (
@@ -87,7 +87,7 @@ _FILTERED = (
 
 
 def asset_groups(spark, d):
-    return layers.asset_groups(spatial.nearest_k(_near_assets(spark, d), GRID_TOP_K))
+    return layers.asset_groups(spatial.k_within(_sites(spark, d), _filtered_assets(spark, d), 10000.0, GRID_TOP_K))
 
 
 def multi_overlap(spark, d):
