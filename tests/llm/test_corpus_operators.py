@@ -389,6 +389,30 @@ def test_crowded_buckets_settle(spark):
     assert sum(bool(got[i]) for i in range(1, 120, 2)) >= 54 and not any(got[i] for i in range(0, 120, 2))
 
 
+def test_no_line_of_a_bucket_is_left_out(spark, monkeypatch):
+    """All pairs of one crowded bucket that are similar and near by SimHash end in one group, in chains that miss the bucket's leader too; the bucket has several blocks."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    shared, lines = [word() for _ in range(20)], []
+    for _ in range(30):
+        own = [word() for _ in range(12)]
+        line = [x for i in range(12) for x in (shared[i], own[i])] + shared[12:]
+        for k in range(4):
+            at = 2 * k + 1
+            line = [*line[:at], word(), *line[at + 1 :]]
+            lines.append(" ".join(line))
+    found = spark.createDataFrame([(x,) for x in lines], "norm string").withColumn("h1", F.xxhash64("norm")).cache()
+    monkeypatch.setattr(linededup, "block_keys", lambda rows: rows.select(F.col("h1").alias("node"), F.lit(1).cast("long").alias("key")))
+    monkeypatch.setattr(linededup, "BLOCK", 64, raising=False)
+    sims = linededup.simhashes(found.select(F.col("h1").alias("node"), "norm"))
+    full = found.join(sims, found["h1"] == sims["node"]).drop("h1").cache()
+    ends = [full.select(*[F.col(c).alias(f"{e}_{c}") for c in ("node", "norm", "sim")]) for e in ("a", "b")]
+    pairs = ends[0].crossJoin(ends[1]).where(f"a_node < b_node and bit_count(a_sim ^ b_sim) <= {linededup.RADIUS}").where("levenshtein(a_norm, b_norm) <= floor(0.1 * greatest(length(a_norm), length(b_norm)) + 1e-9)")
+    links = {(r.a_node, r.b_node) for r in pairs.select("a_node", "b_node").collect()}
+    groups = {r.node: r.component for r in linededup.line_groups(found.select("h1", "norm")).collect()}
+    assert len(links) > 60 and not [(a, b) for a, b in links if groups.get(a, a) != groups.get(b, b)]
+
+
 def test_lines_odd_rows(spark):
     docs = odd_docs(spark)
     got = linededup.deduplicated(docs, "lines", "gone")
