@@ -212,7 +212,7 @@ def _vector_query(spark, d):
 
 def cosine_topk(spark, d):
     held, asked = _vector_query(spark, d)
-    return lexical.ranked(vectors.cosine(held, asked), 10)
+    return lexical.ranked(vectors.nearest(held, asked, 10), 10)
 
 
 _COSINE = (
@@ -224,7 +224,7 @@ _COSINE = (
 
 def _semantic(spark, d) -> DataFrame:
     """Vectors as the semantic side of the searches: record i owns vector i."""
-    return lexical.ranked(vectors.cosine(*_vector_query(spark, d)), 50)
+    return lexical.ranked(vectors.nearest(*_vector_query(spark, d), 50), 50)
 
 
 def _lexical(spark, d) -> DataFrame:

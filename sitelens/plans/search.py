@@ -44,7 +44,7 @@ def search(
     limit = lexical.candidate_limit(top_k)
     lex = lexical.ranked(lexical.bm25(index, queries).join(allowed, "id", "left_semi"), limit)
     if query_vectors is not None and record_vectors is not None:
-        sem = lexical.ranked(vectors.cosine(record_vectors.join(allowed, "id", "left_semi"), query_vectors), limit)
+        sem = lexical.ranked(vectors.nearest(record_vectors.join(allowed, "id", "left_semi"), query_vectors, limit), limit)
     else:
         sem = lex.limit(0)
     facts = records.select("id", "document_id", "source_class", "document_status")
