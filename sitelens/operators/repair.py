@@ -199,11 +199,13 @@ def repaired(layer: DataFrame, key: str, rings: str = "rings") -> DataFrame:
     """``layer`` with invalid geometries rebuilt, and two more columns: ``geometry_state`` (VALID, REPAIRED, EMPTY or UNUSABLE) and
     ``left_over``, whether edges of a rebuilt geometry bound no area. ``key`` tells features apart; valid ones stay as they are.
 
-    The edges, their meetings and the rebuilt rings are written tables, so each is found once.
+    The edges, their meetings and the rebuilt rings are written tables, so each is found once. Features are dealt out first: a layer
+    is a small file that one task reads, and most of the work is on what it is opened into.
     """
     taken = {c.lower() for c in layer.columns} & {"geometry_state", "left_over"}
     if taken:
         raise ValueError(f"{sorted(taken)} are columns of the layer already")
+    layer = layer.repartition(int(layer.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
     segments = staged(edges(layer, key, rings), "repair-edges")
     met = staged(meetings(segments, key), "repair-meetings")
     wrong = staged(_torn(layer, key, rings).union(met.where("wrong").select(key)).distinct(), "repair-wrong")
