@@ -15,6 +15,9 @@ from sitelens.functions import constants as K
 from sitelens.functions.text import plain_tokens, tokens
 from sitelens.sources import versions
 
+#: Pairs of a query and a chunk that one task of an overlap search counts.
+PAIRS = 1_000_000
+
 
 @dataclass
 class LexicalIndex:
@@ -111,8 +114,14 @@ def candidate_limit(top_k: int) -> int:
 
 
 def overlap_search(chunks: DataFrame, queries: DataFrame, top_k: int = 10, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """``qid, id, overlap, rank``: count of distinct shared plain tokens, zero left out."""
-    held = chunks.select(F.col(id_col).alias("id"), F.explode(plain_tokens(text_col)).alias("token"))
+    """``qid, id, overlap, rank``: count of distinct shared plain tokens, zero left out.
+
+    Nearly every chunk shares a word with nearly every query, so chunks are dealt to as many tasks as keep the pairs of one
+    under ``PAIRS``, by the tokens that are asked for; pairs are counted and cut to the first ones there.
+    """
     asked = queries.select("qid", F.explode(plain_tokens("query")).alias("token"))
-    shared = held.join(asked, "token").groupBy("qid", "id").agg(F.count("*").alias("overlap"))
+    held = chunks.select(F.col(id_col).alias("id"), F.explode(plain_tokens(text_col)).alias("token"))
+    held = held.join(F.broadcast(asked.select("token").distinct()), "token", "left_semi")
+    parts = max(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chunks.count() * queries.count() // PAIRS))
+    shared = held.repartition(parts, "id").join(F.broadcast(asked), "token").groupBy("qid", "id").agg(F.count("*").alias("overlap"))
     return ranked(shared, max(1, top_k), score="overlap")
