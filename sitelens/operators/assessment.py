@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,29 +37,38 @@ def _held(records: DataFrame) -> DataFrame:
     """
     text = F.col("text")
     unknown = rules.is_unknown(F.col("state"))
-    ids = lambda c, name: F.array_sort(F.collect_set(F.when(c, F.col("evidence_id")))).alias(name)
     energised = contains_any(text, K.ENERGISATION_TERMS)
     planned = contains_any(text, (K.PLANNED_ENERGY_TERM,)) | (contains_any(text, (K.PLANNED_TERM,)) & contains_any(text, (K.RENEWABLE_TERM,)))
-    return records.groupBy("project_id", "domain").agg(
-        ids(F.lit(True), "all_ids"),
-        ids(unknown, "unknown_ids"),
-        ids(~unknown & (F.col("authoritative") | F.col("deterministic")) & contains_any(text, K.CONSTRAINT_TERMS), "explicit_ids"),
-        ids(F.col("project_document"), "document_ids"),
-        ids(F.col("authoritative"), "authoritative_ids"),
+    sets = {
+        "all_ids": F.lit(True),
+        "unknown_ids": unknown,
+        "explicit_ids": ~unknown & (F.col("authoritative") | F.col("deterministic")) & contains_any(text, K.CONSTRAINT_TERMS),
+        "document_ids": F.col("project_document"),
+        "authoritative_ids": F.col("authoritative"),
+        "context_ids": F.col("deterministic") & contains_any(text, K.GRID_CONTEXT_TERMS),
+        "agreement_ids": contains_any(text, K.AGREEMENT_TERMS),
+        "energisation_ids": energised,
+        "clear_of_ids": F.rlike(text, F.lit(K.NO_INTERSECTION_PATTERN)),
+        "interpretation_ids": F.col("project_document") & contains_any(text, K.POLICY_INTERPRETATION_TERMS),
+    }
+    # One set of ids, each with the sets that it belongs to as bits.
+    bits = lambda c, i: F.when(c, F.lit(1 << i)).otherwise(F.lit(0))
+    member = reduce(lambda a, b: a.bitwiseOR(b), [bits(c, i) for i, c in enumerate(sets.values())])
+    held = records.groupBy("project_id", "domain").agg(
+        F.collect_set(F.when(F.col("evidence_id").isNotNull(), F.struct(F.col("evidence_id").alias("id"), member.alias("sets")))).alias("_ids"),
         F.bool_or(F.col("deterministic")).alias("any_deterministic"),
-        ids(F.col("deterministic") & contains_any(text, K.GRID_CONTEXT_TERMS), "context_ids"),
-        ids(contains_any(text, K.AGREEMENT_TERMS), "agreement_ids"),
-        ids(energised, "energisation_ids"),
         F.bool_or(energised & ~unknown).alias("energised"),
         F.bool_or(contains_any(text, K.PROPOSED_GRID_TERMS)).alias("proposed"),
         F.bool_or(contains_any(text, K.FEASIBILITY_TERMS)).alias("feasibility"),
         F.bool_or(contains_any(text, K.SECURED_GRID_TERMS)).alias("secured"),
         F.bool_or(planned).alias("planned"),
-        ids(F.rlike(text, F.lit(K.NO_INTERSECTION_PATTERN)), "clear_of_ids"),
-        ids(F.col("project_document") & contains_any(text, K.POLICY_INTERPRETATION_TERMS), "interpretation_ids"),
         F.bool_or(unknown & contains_any(text, K.GRID_ISSUE_TERMS)).alias("grid_issue"),
         F.bool_or(rules.unknown_needs_review(F.col("domain"), text)).alias("material"),
     )
+    # Sorted once, and taken apart through a generator, so the optimizer cannot copy the lists into each rule.
+    ids = lambda i: F.array_distinct(F.transform(F.filter("_ids", lambda x: x["sets"].bitwiseAND(F.lit(1 << i)) != 0), lambda x: x["id"]))
+    held = held.select(*[c for c in held.columns if c != "_ids"], F.explode(F.array(F.sort_array("_ids"))).alias("_ids"))
+    return held.select(*[c for c in held.columns if c != "_ids"], F.inline(F.array(F.struct(*[ids(i).alias(name) for i, name in enumerate(sets)]))))
 
 
 def findings(records: DataFrame, items: DataFrame | None = None) -> DataFrame:
