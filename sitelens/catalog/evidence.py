@@ -246,8 +246,8 @@ def citations_top3(spark, d):
 
 def result_summary(spark, d):
     f = findings(spark, d)
-    s = explanation.source_summary(records(spark, d).withColumn("run_id", F.col("project_id")), "run_id")
-    wide = s.groupBy("run_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat("label", F.lit("="), F.col("n").cast("string")))), ",").alias("sources"))
+    s = explanation.source_counts(records(spark, d).withColumn("run_id", F.col("project_id")), "run_id")
+    wide = s.select("run_id", F.array_join(F.array_sort(F.transform("sources", lambda x: F.concat(x["label"], F.lit("="), x["n"].cast("string")))), ",").alias("sources"))
     return explanation.result_summary(f, "run_id").join(wide, "run_id")
 
 

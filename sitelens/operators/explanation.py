@@ -49,13 +49,17 @@ def priority_order(found: DataFrame) -> DataFrame:
     return found.withColumn("priority", p).withColumn("position", F.row_number().over(Window.partitionBy("project_id").orderBy("priority", "finding_order")))
 
 
-def source_summary(records: DataFrame, by: str) -> DataFrame:
-    """Counts of all customer-facing labels, zeros included. Labels are a fixed short table."""
+def source_counts(records: DataFrame, by: str) -> DataFrame:
+    """``by, sources``: an array of ``label, n`` with all customer-facing labels, zeros included. Labels are a fixed short table."""
     labels = (*dict.fromkeys(K.SOURCE_LABELS.values()), "Authoritative Policy")
     label = rules.customer_source_label(F.col("created_by"), F.col("source_class"))
-    counted = records.groupBy(by, label.alias("label")).agg(F.count("*").alias("n"))
-    every = records.select(by).distinct().select(by, F.explode(F.array(*[F.lit(x) for x in labels])).alias("label"))
-    return every.join(counted, [by, "label"], "left").select(by, "label", F.coalesce("n", F.lit(0)).alias("n"))
+    counted = records.select(by, label.alias("_label")).groupBy(by).agg(*[F.count_if(F.col("_label") == x).alias(f"_n{i}") for i, x in enumerate(labels)])
+    return counted.select(by, F.array(*[F.struct(F.lit(x).alias("label"), F.col(f"_n{i}").alias("n")) for i, x in enumerate(labels)]).alias("sources"))
+
+
+def source_summary(records: DataFrame, by: str) -> DataFrame:
+    """``by, label, n``: the rows of :func:`source_counts`."""
+    return source_counts(records, by).select(by, F.inline("sources"))
 
 
 def result_summary(found: DataFrame, by: str) -> DataFrame:
