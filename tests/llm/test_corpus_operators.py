@@ -413,6 +413,28 @@ def test_no_line_of_a_bucket_is_left_out(spark, monkeypatch):
     assert len(links) > 60 and not [(a, b) for a, b in links if groups.get(a, a) != groups.get(b, b)]
 
 
+def test_last_pairs_of_a_bucket_meet_in_rings(spark, monkeypatch):
+    """A chain of lines that leaders miss is connected whole, though pairs that a nearer link has connected, or whose lengths rule a link out, are not compared."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(160)]
+    lines = [" ".join(words[:n]) for n in range(60, 160)]
+    found = spark.createDataFrame([(x,) for x in lines], "norm string").withColumn("h1", F.xxhash64("norm")).cache()
+    monkeypatch.setattr(linededup, "block_keys", lambda rows: rows.select(F.col("h1").alias("node"), F.lit(1).cast("long").alias("key")))
+    compared, real = [], linededup.verified
+    chars = {r.h1: r.n for r in found.select("h1", F.length("norm").alias("n")).collect()}
+
+    def counted(pairs, texts):
+        compared.extend((r.a, r.b) for r in pairs.select("a", "b").collect())
+        return real(pairs, texts)
+
+    monkeypatch.setattr(linededup, "verified", counted)
+    groups = {r.node: r.component for r in linededup.line_groups(found.select("h1", "norm")).collect()}
+    assert len(set(groups.values())) == 1 and len(groups) == len(lines)
+    close = [(a, b) for a, b in compared if abs(chars[a] - chars[b]) <= int(0.1 * max(chars[a], chars[b]) + 1e-9)]
+    linkable = sum(abs(m - n) <= int(0.1 * max(m, n) + 1e-9) for i, m in enumerate(chars.values()) for n in [*chars.values()][:i])
+    assert len(close) == len(compared) and len(set(compared)) < 0.7 * linkable
+
+
 def test_lines_odd_rows(spark):
     docs = odd_docs(spark)
     got = linededup.deduplicated(docs, "lines", "gone")
