@@ -374,6 +374,23 @@ def test_lines_of_scripts_without_spaces(spark):
     assert got == {0: [], 1: [0], 2: []}
 
 
+def test_plain_lines_are_normalised_without_patterns(spark, monkeypatch):
+    """Each code point is normalised as the pattern does it; lines whose letters have a case take no pattern."""
+    rows = spark.range(1, 0x110000).where("not id between 55296 and 57343")
+    one = F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')")
+    low = rows.select("id", F.lower(F.concat(F.lit("ab"), one, F.lit("c "), one, one, F.lit(" é, - x"), one, F.lit(" |  1 ..")))).toDF("id", "low")
+    # Decoding takes one of them, the byte order mark, away.
+    assert low.where(F.length("low") < 20).count() <= 1
+    want = low.select("id", linededup.normalised(F.col("low")).alias("want"))
+    assert linededup.with_norm(low).join(want, "id").where("not norm <=> want").isEmpty()
+    monkeypatch.setattr(linededup, "normalised", lambda low: F.lit("pattern"))
+    lines = ["l'été, où il fait  chaud | ¡no! -- 12 ß", "日本 a b c d", "“a” b c d e", "ⓐb, c", "a line of many words and a circled ⓐ", " , ", ""]
+    got = linededup.with_norm(spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "id int, low string")).orderBy("id").collect()
+    assert [r.norm for r in got] == ["pattern"] * 5 + ["", ""]
+    plain = spark.createDataFrame([("l'été, où il fait  chaud | 12 ß -  . - x",)], "low string")
+    assert linededup.with_norm(plain).first().norm == "l été où il fait chaud 12 ß x"
+
+
 def test_crowded_buckets_settle(spark):
     """Many different lines that share whole blocks of words: each family inside is still found."""
     rng = random.Random(8)
