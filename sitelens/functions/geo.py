@@ -62,6 +62,13 @@ def length(dx: Column, dy: Column) -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
+def rounded(length: Column, digits: int) -> Column:
+    """``F.round`` of a length to 0 or more ``digits``, whose decimal arithmetic is needed near the middle between two results, and for large values, only."""
+    scaled = length * 10.0**digits + 0.5
+    exact = (F.abs(scaled - F.rint(scaled)) < 1e-4) | (scaled > 1e9) | (length < 0)
+    return F.when(exact, F.round(length, digits)).otherwise(F.floor(scaled) / 10.0**digits)
+
+
 def square(x: Column, y: Column, half: Column) -> Column:
     """Rings of the axis-parallel square round a centre."""
     corners = [(-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from contextlib import contextmanager
 from threading import Timer
 
@@ -71,6 +72,38 @@ def test_cells_listed_are_not_broadcast(spark):
     assert got.where("groundwater = 500 and multiple and n_1_km = 500 and karst_id = 0 and connection_id = 0").count() == 500
 
 
+def test_pairs_of_a_full_cell_are_dealt_to_tasks(spark):
+    """All pairs of a cell were formed by one task, and a few tasks were joined into one by their bytes."""
+    n = 8 * spatial.BLOCK
+    sites = spark.range(30).selectExpr("id as site_id", "cast(1000 + id as double) as x", "2000d as y")
+    points = spark.range(n).selectExpr("id as feature_id", "cast(1100 + id % 100 as double) as x", "cast(2000 + id as double) as y")
+    pairs = spatial.within_radius(sites, points, 10000.0)
+    tasks = pairs.groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) > 2 and sum(r["count"] for r in tasks) == 30 * n and max(r["count"] for r in tasks) <= 30 * n / 2
+    assert pairs.select("site_id", "feature_id").distinct().count() == 30 * n
+
+
+def test_pairs_keep_all_columns(spark):
+    """One column and several, columns of one name on both sides, ids that are null."""
+    sites = spark.createDataFrame([("s", 0.0, 1, 0.0), (None, 0.0, 2, 0.0)], "site_id string, x double, status int, y double")
+    points = spark.createDataFrame([(3.0, 7, 4.0), (3.0, None, 4.0), (300.0, 8, 4.0)], "x double, feature_id long, y double")
+    out = spatial.within_radius(sites, points, 5.0)
+    assert out.columns == ["fx", "feature_id", "fy", "site_id", "x", "status", "y", "distance"]
+    assert {tuple(r) for r in out.collect()} == {(3.0, f, 4.0, s, 0.0, n, 0.0, 5.0) for f in (7, None) for s, n in (("s", 1), (None, 2))}
+    named = points.withColumn("status", F.lit("p"))
+    both = spatial.within_radius(sites, named, 5.0)
+    assert both.columns == ["fx", "feature_id", "fy", "status", "site_id", "x", "status", "y", "distance"] and both.count() == 4
+
+
+@pytest.mark.parametrize("digits", [0, 3, 6])
+def test_lengths_are_rounded_as_round_does(spark, digits):
+    step = 10.0**-digits
+    values = [v for n in (0, 1, 2, 999, 1234567, 9999999) for m in (0.0, 0.25, 0.49999, 0.5, 0.500001, 0.75) for v in ((n + m) * step, math.nextafter((n + m) * step, math.inf), math.nextafter((n + m) * step, -1.0))]
+    rows = spark.createDataFrame([(v,) for v in [*values, None, math.inf, math.nan, 1e300, 0.0005, 1.0005, 8.0005, 2.6855]], "v double")
+    other = rows.union(spark.range(20_000).select(F.rand(5) * 20000)).where(~(geo.rounded(F.col("v"), digits).eqNullSafe(F.round("v", digits))))
+    assert other.isEmpty()
+
+
 def test_places_nowhere_stay(spark):
     sites = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 5.0), (3, 9e5, 9e5)], "site_id long, x double, y double")
     points, squares = points_at(spark, 2), squares_at(spark, 2)
